@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, packing, simhash, token_counts
+from . import decontam, line_dedup, packing, quality_rules, simhash, token_counts
 
 try:  # the vocabulary files are data, not code: their place is a parameter
     import public_tokenizers as _tokenizers
@@ -31,6 +31,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_report(_table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_report(_table(spark, sf_dir, "documents"))
 
@@ -39,11 +43,17 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.piece_report(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op4_token_counts": op4_token_counts,
+    "op7_quality_rules": op7_quality_rules,
     "op8_simhash": op8_simhash,
     "op9_packing": op9_packing,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_line_dedup": line_dedup.LINE_SQL}
