@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, line_dedup, packing, quality_rules, simhash, token_counts
+from . import decontam, hmm, line_dedup, packing, quality_rules, simhash, token_counts
 
 try:  # the vocabulary files are data, not code: their place is a parameter
     import public_tokenizers as _tokenizers
@@ -27,6 +27,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -49,6 +53,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_token_counts": op4_token_counts,
     "op7_quality_rules": op7_quality_rules,
     "op8_simhash": op8_simhash,
