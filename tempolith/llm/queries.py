@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hmm, line_dedup, packing, quality_rules, simhash, token_counts
+from . import decontam, hmm, html_extract, html_pages, line_dedup, packing, quality_rules, simhash, token_counts
 
 try:  # the vocabulary files are data, not code: their place is a parameter
     import public_tokenizers as _tokenizers
@@ -27,6 +27,11 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    field = html_extract.fit(html_pages.labelled_pages(400, seed=1))
+    return html_extract.extract(_table(spark, sf_dir, "pages"), field)
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score_documents(_table(spark, sf_dir, "documents"))
 
@@ -53,6 +58,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_html_extraction": op2_html_extraction,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_token_counts": op4_token_counts,
     "op7_quality_rules": op7_quality_rules,
