@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, hmm, html_extract, html_pages, line_dedup, packing, quality_rules, secret_scan, simhash, token_counts
+from . import decontam, hmm, html_extract, html_pages, line_dedup, packing, quality_rules, secret_scan, simhash, suffix_dedup, token_counts
 
 try:  # the vocabulary files are data, not code: their place is a parameter
     import public_tokenizers as _tokenizers
@@ -40,6 +40,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_report(_table(spark, sf_dir, "documents"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(_table(spark, sf_dir, "documents"))
 
@@ -65,6 +69,7 @@ QUERIES = {
     "op2_html_extraction": op2_html_extraction,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_token_counts": op4_token_counts,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_secret_scan": op6_secret_scan,
     "op7_quality_rules": op7_quality_rules,
     "op8_simhash": op8_simhash,
