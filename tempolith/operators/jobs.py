@@ -85,7 +85,7 @@ def decide(specs: DataFrame, statuses: DataFrame, now_nanos: int) -> DataFrame:
     unmet = unmet_dependencies(specs, statuses).select("name").distinct().withColumn("unmet", F.lit(True))
     j = specs.join(prev, "name", "left").join(unmet, "name", "left")
     same = F.coalesce((F.col("p_slot") == F.col("slot")) & (F.col("p_spec_fingerprint") == F.col("spec_fingerprint")), F.lit(False))
-    early = now_nanos < F.col("p_last_attempt_time") + F.col("retry_backoff_seconds") * NANOS
+    early = now_nanos < F.col("p_last_attempt_time") + F.col("retry_backoff_seconds").cast("long") * NANOS
     action = (
         F.when(same & F.col("p_phase").isin(*TERMINAL), "done")
         .when(same & (F.col("p_phase") == "failed") & early, "backoff")

@@ -40,9 +40,10 @@ def scan_range(kv: DataFrame, start: str = "", end: str = "") -> DataFrame:
 
 
 def scan(kv: DataFrame, start: str = "", end: str = "", field: str = "", op: str = "", operand: str = "", limit: int = 10_000, raw_text: bool = False) -> DataFrame:
-    """Business scan: a range without internal keys, a predicate on the JSON value, in key order, capped."""
+    """Business scan: a range without internal keys, a predicate on the JSON value, in key order, capped; limit 0 has no cap."""
     found = scan_range(kv, start, end).where(~keys.is_internal("key"))
-    return found.where(field_predicate(F.col("value"), field, op, operand, raw_text=raw_text)).orderBy("key").limit(limit)
+    found = found.where(field_predicate(F.col("value"), field, op, operand, raw_text=raw_text)).orderBy("key")
+    return found.limit(limit) if limit > 0 else found
 
 
 def scan_prefix(kv: DataFrame, prefix: str) -> DataFrame:
