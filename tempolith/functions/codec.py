@@ -5,15 +5,16 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _MARK = 1 << 63
 
 
 def encode_record(write_nanos: int, source: str, schema_ver: int, persisted_hash: str, payload: bytes) -> bytes:
-    """Marker and layout 1, time, source, hash, schema version, payload; all little-endian."""
+    """Marker and layout 1, time, source, schema version, hash, payload; numbers are little-endian."""
     s, h = source.encode(), persisted_hash.encode()
-    return struct.pack("<Qq", _MARK | 1, write_nanos) + struct.pack("<I", len(s)) + s + struct.pack("<I", len(h)) + h + struct.pack("<H", schema_ver) + payload
+    return b"".join([struct.pack("<QqI", _MARK | 1, write_nanos, len(s)), s, struct.pack("<IH", schema_ver, len(h)), h, payload])
 
 
 def decode_record(raw: bytes | None) -> tuple | None:
@@ -24,25 +25,21 @@ def decode_record(raw: bytes | None) -> tuple | None:
     if not first & _MARK:
         return first, "", 0, "", raw[8:]
     try:
-        (nanos,) = struct.unpack_from("<q", raw, 8)
-        at, texts = 16, []
-        for _ in range(2):
-            (n,) = struct.unpack_from("<I", raw, at)
-            if at + 4 + n > len(raw):
-                return None
-            texts.append(raw[at + 4 : at + 4 + n].decode())
-            at += 4 + n
-        (version,) = struct.unpack_from("<H", raw, at)
+        nanos, n = struct.unpack_from("<qI", raw, 8)
+        version, m = struct.unpack_from("<IH", raw, 20 + n)
+        end = 26 + n + m
+        if end > len(raw):
+            return None
+        return nanos, raw[20 : 20 + n].decode(), version, raw[26 + n : end].decode(), raw[end:]
     except (struct.error, UnicodeDecodeError):
         return None
-    return nanos, texts[0], version, texts[1], raw[at + 2 :]
 
 
-RECORD = "write_nanos long, source string, schema_ver int, persisted_hash string, payload binary"
+def decode_records(raw) -> Column:
+    """decode_record over a column; fields are null where a record is cut off."""
 
+    def decode(values: pd.Series) -> pd.DataFrame:
+        rows = [decode_record(None if x is None else bytes(x)) or (None,) * 5 for x in values]
+        return pd.DataFrame(rows, columns=["write_nanos", "source", "schema_ver", "persisted_hash", "payload"]).astype({"write_nanos": "Int64", "schema_ver": "Int32"})
 
-@F.pandas_udf(RECORD)
-def decode_records(raw: pd.Series) -> pd.DataFrame:
-    """decode_record over a column; fields are null where a record is cut off."""
-    rows = [decode_record(None if x is None else bytes(x)) or (None,) * 5 for x in raw]
-    return pd.DataFrame(rows, columns=["write_nanos", "source", "schema_ver", "persisted_hash", "payload"]).astype({"write_nanos": "Int64", "schema_ver": "Int32"})
+    return F.pandas_udf(decode, "write_nanos long, source string, schema_ver int, persisted_hash string, payload binary")(raw)

@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,8 +25,6 @@ def _object(value: Column) -> Column:
 
 
 def _raw_field(name: str):
-    import pandas as pd
-
     @F.pandas_udf("string")
     def raw(values: pd.Series) -> pd.Series:
         return values.map(lambda v: _raw_member(v, name))

@@ -669,8 +669,8 @@ def event_to_status(spark, sf_dir):
 
 @query(
     f"""with {_JOB_EVENTS_SQL}, s as (select name, slot, 'fp' as f, arg_max(case outcome when 'succeeded' then 'succeeded' when 'alert' then 'alerting' else 'failed' end, seq) as phase, arg_max(attempt, seq) as attempt, arg_max(write_nanos, seq) as t from j where slot = 1 group by name, slot)
- select c.c_custkey as name, case when s.name is not null and s.phase in ('succeeded', 'alerting') then 'done' when s.name is not null and 50000 < s.t + 5 * 1000000000 then 'backoff' else 'run' end as action,
-  cast(case when s.name is null then 1 when s.phase in ('succeeded', 'alerting') or 50000 < s.t + 5 * 1000000000 then null else s.attempt + 1 end as int) as attempt from customer c left join s on s.name = c.c_custkey"""
+ select c.c_custkey as name, case when s.name is not null and s.phase in ('succeeded', 'alerting') then 'done' when s.name is not null and 50000 < s.t + 5000000000 then 'backoff' else 'run' end as action,
+  cast(case when s.name is null then 1 when s.phase in ('succeeded', 'alerting') or 50000 < s.t + 5000000000 then null else s.attempt + 1 end as int) as attempt from customer c left join s on s.name = c.c_custkey"""
 )
 def reconcile_decisions(spark, sf_dir):
     events = _job_events(spark, sf_dir).where("slot = 1")
