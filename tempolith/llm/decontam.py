@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import pickle
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,7 +81,7 @@ class WindowIndex:
         return found
 
 
-_indexes: dict[tuple[int, int], WindowIndex] = {}
+_indexes: dict[tuple[str, int], WindowIndex] = {}
 
 
 def _index(broadcast, ngram: int) -> WindowIndex:
@@ -145,7 +146,7 @@ def scan_benchmark(
     df, block, number = docs, next(blocks, []), 0
     while True:
         following = next(blocks, None)
-        broadcast = spark.sparkContext.broadcast((f"{out}-{id(df)}-{number}", block))
+        broadcast = spark.sparkContext.broadcast((uuid.uuid4().hex, block))
         last = following is None
         has_state = number > 0
 

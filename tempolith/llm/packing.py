@@ -40,7 +40,8 @@ class WordEncoder:
     to the tokenizers library.
     """
 
-    entries = 400_000
+    #: Chunks that are kept, and the bytes of the longest that is.
+    entries, longest = 400_000, 256
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -107,6 +108,8 @@ class WordEncoder:
                 else:
                     self._learn(list({c for c, ids in zip(chunks, found) if ids is None}))
                 found = list(map(get, chunks))
+                for chunk in [c for c in chunks if len(c) > self.longest]:
+                    self.cache.pop(chunk, None)
             yield b"".join(found)
 
 

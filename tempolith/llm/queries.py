@@ -3,20 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import decontam, hmm, html_extract, html_pages, line_dedup, packing, quality_rules, secret_scan, simhash, suffix_dedup, token_counts
 
-try:  # the vocabulary files are data, not code: their place is a parameter
-    import public_tokenizers as _tokenizers
-except ImportError:  # pragma: no cover - only where the files are not installed
-    _tokenizers = None
-
 
 def tokenizer_path(name: str) -> str:
-    if _tokenizers is None:
-        raise FileNotFoundError(f"no vocabulary files are installed; pass a path for {name}")
-    return str(_tokenizers.path(name))
+    """Where a vocabulary file of the installed collection lies."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

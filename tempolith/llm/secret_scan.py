@@ -23,6 +23,7 @@ from .common import fresh
 CANDIDATE = r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z0-9_+/\-]*[0-9])[A-Za-z0-9_+/\-]{12,}"
 #: Code points of neighbouring text that features see.
 CONTEXT = 48
+_BLOCK = 256
 _KEYWORDS = r"(?i)(passw(or)?d|passwd|pwd|secret|token|api[ _-]?key|auth|bearer|credential|private|aws)"
 _NOT_KEYS = r"(?i)(commit|sha(1|256)?|md5|checksum|hash|digest|uuid|guid|version|build|order|invoice|isbn|phone|card|call|account|id)"
 _DICTIONARY = (
@@ -134,10 +135,17 @@ def candidates(docs: DataFrame, *, id_col: str, text_col: str, path_col: str) ->
         F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("cands"),
         F.split("text", CANDIDATE, -1).alias("between"),
     )
-    each = cut.select("doc_id", "path", "digest", F.posexplode(F.arrays_zip("cands", F.slice("between", F.lit(1), F.size("cands")).alias("left"), F.slice("between", F.lit(2), F.size("cands")).alias("right"))).alias("at", "x"), "cands", "between")
-    length = lambda name: F.aggregate(F.transform(F.slice(name, F.lit(1), F.col("at") + int(name == "between")), F.char_length), F.lit(0), lambda a, b: a + b)
+    # sums in two steps, over blocks and inside one, keep a text of many candidates cheap
+    total = lambda part: F.aggregate(part, F.lit(0), lambda a, b: a + b)
+    sized = cut.withColumn("sizes", F.zip_with("cands", "between", lambda c, b: F.char_length(b) + F.coalesce(F.char_length(c), F.lit(0))))
+    sized = sized.withColumn("blocks", F.transform(F.sequence(F.lit(0), F.floor(F.size("cands") / _BLOCK).cast("int")), lambda j: total(F.slice("sizes", j * _BLOCK + 1, _BLOCK))))
+    before = lambda i: total(F.slice("blocks", F.lit(1), F.floor(i / _BLOCK).cast("int"))) + total(F.slice("sizes", F.floor(i / _BLOCK).cast("int") * _BLOCK + 1, i % _BLOCK))
+    starts = F.transform(F.sequence(F.lit(0), F.size("cands") - 1), lambda i: before(i) + F.char_length(F.get("between", i)))
+    count = F.size("cands")
+    parts = F.arrays_zip("cands", F.slice("between", F.lit(1), count).alias("left"), F.slice("between", F.lit(2), count).alias("right"), starts.alias("start"))
+    each = sized.select("doc_id", "path", "digest", F.explode(parts).alias("x"))
     return each.select(
-        "doc_id", "digest", (length("between") + length("cands")).cast("long").alias("start"),
+        "doc_id", "digest", F.col("x.start").cast("long").alias("start"),
         F.col("x.cands").alias("cand"), F.right("x.left", F.lit(CONTEXT)).alias("before"), F.left("x.right", F.lit(CONTEXT)).alias("after"), "path",
     )
 

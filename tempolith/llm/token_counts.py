@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 _models: dict[str, object] = {}
 _cache: dict[str, dict[str, int]] = {}
-#: Entries a worker's cache may hold before it starts anew.
-CACHE_ENTRIES = 500_000
+#: Entries a worker's cache may hold before it starts anew, and the characters of the longest that is kept.
+CACHE_ENTRIES, CACHE_CHARS = 500_000, 256
 
 
 def _model(path: str):
@@ -111,6 +111,8 @@ def count_tokens(
                         new = list({p for p, n in zip(missed, found) if n is None})
                         cache.update(zip(new, _lengths(model, new)))
                         found = list(map(known, missed))
+                        for piece in [p for p in new if len(p) > CACHE_CHARS]:
+                            del cache[piece]
                     total += sum(found)
                 else:
                     total = sum(lengths)

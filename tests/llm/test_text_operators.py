@@ -159,6 +159,9 @@ def test_secrets(spark):
     assert {r.cand for r in found if r.is_secret and r.doc_id < 3} == set(real) and not any(r.is_secret for r in found if r.doc_id >= 3)
     text = dict(rows)
     assert all(text[r.doc_id][r.start : r.start + r.length] == r.cand for r in found)
+    many = " é".join(f"abcdefghij{i:05}" for i in range(700))
+    spots = [r.start for r in secret_scan.candidates(docs(spark, [(1, many)]), id_col="doc_id", text_col="text", path_col="source").collect()]
+    assert sorted(spots) == [m.start() for m in re.finditer("abcdefghij", many)]
     cut = {r.doc_id: r.text for r in secret_scan.redact(df, model).collect()}
     assert cut[1] == "é words [SECRET] then password=[SECRET] end" and cut[3] == text[3] and cut[5] is None and len(cut) == 7
     assert secret_scan.scan(docs(spark, []), model).count() == 0
