@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,24 @@ def time_window(t_from: int = 0, t_to: int = 0) -> Column:
     return test
 
 
+def under_prefix(prefix: str, tail: str) -> Column:
+    """Whether the storage key, the logical key and a tail (':v' and digits, or ':current'), begins with prefix.
+
+    Said over the logical key, so that it reaches the scan: the key begins with the prefix, or the
+    prefix reaches into the tail of one key.
+    """
+    key = F.col("logical_key")
+    if not prefix:
+        return F.lit(True)
+    test = key.startswith(prefix)
+    cut = prefix.rfind(":")
+    if cut >= 0 and tail == ":current" and tail.startswith(prefix[cut:]):
+        test = test | (key == prefix[:cut])
+    if cut >= 0 and tail == ":v" and re.fullmatch(r":(v[0-9]{0,20})?", prefix[cut:]):
+        test = test | ((key == prefix[:cut]) & keys.version_key("logical_key", "seq").startswith(prefix))
+    return test
+
+
 def latest(ledger: DataFrame) -> DataFrame:
     """The version of the greatest seq of every key."""
     best = ledger.groupBy("logical_key").agg(F.max_by(F.struct(*_BODY), "seq").alias("v"))
@@ -39,9 +59,7 @@ def list_versions(ledger: DataFrame, logical_key: str) -> DataFrame:
 
 def list_prefix(ledger: DataFrame, prefix: str, as_of_nanos: int = 0) -> DataFrame:
     """All versions under a prefix of the version key, up to a time if it is positive."""
-    hit = keys.version_key("logical_key", "seq").startswith(prefix)
-    # the second test is implied where the prefix cannot reach into ":v"; it prunes files
-    return ledger.where(hit).where(time_window(0, as_of_nanos))
+    return ledger.where(under_prefix(prefix, ":v")).where(time_window(0, as_of_nanos))
 
 
 def list_writes(ledger: DataFrame, prefix: str = "", t_from: int = 0, t_to: int = 0, source: str = "") -> DataFrame:
@@ -177,7 +195,7 @@ def replay(ledger: DataFrame, pointers: DataFrame, prefix: str = "", as_of_nanos
     The prefix is matched on the pointer's storage key.  A bounded replay counts all keys of the
     prefix, those without a version yet too, and checks no pointers.
     """
-    hit = keys.current_key("logical_key").startswith(prefix)
+    hit = under_prefix(prefix, ":current")
     scoped, own = ledger.where(hit), pointers.where(hit)
     bounded = as_of_nanos > 0
     state = fingerprint(as_of(scoped, as_of_nanos) if bounded else latest(scoped)).select("fingerprint")

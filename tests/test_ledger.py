@@ -129,3 +129,11 @@ def test_slots_and_schedules(spark):
     for bad in ("daily@24:00 UTC", "weekly@1:00 UTC", "daily@1:60 UTC"):
         with pytest.raises(ValueError):
             scalars.parse_schedule(bad)
+
+
+def test_prefix_is_that_of_the_storage_key(spark):
+    b = book(spark, *[(k, s, 1, "x") for k in ("order:1001", "order:1001:a", "order:10012", "a:v1") for s in (1, 2)])
+    for tail, key in ((":v", keys.version_key("logical_key", "seq")), (":current", keys.current_key("logical_key"))):
+        for prefix in ("", "o", "order:1001", "order:1001:", "order:1001:v", "order:1001:v0000000000000000000", "order:1001:v00000000000000000001", "order:1001:curr", "order:1001:x", "a:v", "a:v1:"):
+            want = b.where(key.startswith(prefix)).count()
+            assert b.where(ledger.under_prefix(prefix, tail)).count() == want, (tail, prefix)
