@@ -320,7 +320,7 @@ def _count_windows(contexts: DataFrame, span: int) -> DataFrame:
     return windows.join(often, ["w1", "w2"], "left_semi").select("key", "lo", F.lit(span).alias("size"))
 
 
-def repeated_ranges(docs: DataFrame, *, span: int = 200, group_limit: int = 100_000) -> DataFrame:
+def repeated_ranges(docs: DataFrame, *, span: int = 200, group_limit: int = 30_000) -> DataFrame:
     """(key, ranges): the byte ranges, as start and stop, that windows occurring elsewhere cover, for texts with any."""
     settled = materialize(settle(places(docs, span)), "suffix-places")
     ranges = settled.where("kind = 1").select("key", "lo", "size")
@@ -339,7 +339,7 @@ def repeated_ranges(docs: DataFrame, *, span: int = 200, group_limit: int = 100_
     return ranges.distinct().groupBy("key").agg(F.collect_list(F.struct("lo", "size")).alias("ranges"))
 
 
-def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = 200, group_limit: int = 100_000) -> DataFrame:
+def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", span: int = 200, group_limit: int = 30_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (binary: the bytes that are left) of every document."""
     slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     found = repeated_ranges(slim.where(F.octet_length("text") >= span).select("text"), span=span, group_limit=group_limit)
