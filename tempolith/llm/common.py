@@ -47,3 +47,8 @@ def fresh(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def broadcast_if_small(table: DataFrame, rows: int = 100_000) -> DataFrame:
+    """table, marked for broadcast if its counted rows are at most ``rows``; meant for written tables of short rows."""
+    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table

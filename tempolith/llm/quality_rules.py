@@ -22,7 +22,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, words
+from .common import broadcast_if_small, materialize, words
 
 #: Steps of the statistics in one unit, and of the logarithm of a distance in one bin.
 UNIT, BINS = 256, 64
@@ -121,6 +121,7 @@ def _with_group(df: DataFrame, lang: str, source: str, min_group: int) -> DataFr
         F.when(F.col("_n") >= min_group, F.col("_both")).when(F.col("_pool") >= min_group, F.col("_one")).otherwise("").alias("_to"),
     )
     # a language and source with no base-passing row needs no group: all its rows are rejected
+    sizes = broadcast_if_small(materialize(sizes, "quality-groups"))
     return df.join(sizes, F.col("_both") == F.col("_key"), "left").drop("_key").withColumnRenamed("_to", "_group").drop("_both", "_one")
 
 
@@ -183,13 +184,13 @@ def _concentrate(rows: DataFrame) -> DataFrame:
     return cum.where("2 * _h >= _n").withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
 
 
-def judge(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_group: int = 50, steps: int = 3, cutoff: float = 60.0) -> DataFrame:
-    """docs, as a struct column ``doc``, with the counts, base_failed, kept and distance2.
+def judge(docs: DataFrame, *, keep: list[str] | None = None, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_group: int = 50, steps: int = 3, cutoff: float = 60.0) -> DataFrame:
+    """docs (the columns of ``keep``, or all), as a struct column ``doc``, with the counts, base_failed, kept and distance2.
 
     distance2 is null for base-failed rows and where no estimate exists.
     """
     packed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc") if docs.columns else F.struct().alias("doc"),
+        F.struct(*[F.col(f"`{c}`") for c in keep or docs.columns]).alias("doc"),
         F.col(text_col).cast("string").alias("_text"),
         F.col(lang_col).alias("_lang"),
         F.col(source_col).alias("_source"),
@@ -199,15 +200,16 @@ def judge(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", so
     table = _with_group(table, "_lang", "_source", min_group)
     usable = [f"_x_{f}" for f, _ in FEATURES]
     rows = table.where("not base_failed").select("_group", *usable)
-    start = materialize(_start(rows, min_group), "quality-start")
+    start = broadcast_if_small(materialize(_start(rows, min_group), "quality-start"))
     est = materialize(_with_factor(_concentrate(rows.join(start, "_group").withColumn("_d2", _start_distance()))), "quality-step")
+    apart = lambda e: rows.join(broadcast_if_small(e.drop("_bin", "_n", "_h")), "_group")
     for _ in range(steps):
-        est = materialize(_with_factor(_concentrate(_with_distance(rows.join(est.drop("_bin", "_n", "_h"), "_group")))), "quality-step")
+        est = materialize(_with_factor(_concentrate(_with_distance(apart(est)))), "quality-step")
     # distances of the last estimate, scaled so that the median is that of a normal vector
-    last = _concentrate(_with_distance(rows.join(est.drop("_bin", "_n", "_h"), "_group")))
+    last = _concentrate(_with_distance(apart(est)))
     scale = last.select("_group", F.greatest(F.lit(1.0), F.expm1((F.col("_bin") + 1) / BINS) / _CHI2_MEDIAN).alias("_scale"))
     final = materialize(est.drop("_bin", "_n", "_h").join(scale, "_group"), "quality-estimates")
-    judged = _with_distance(table.join(final, "_group", "left"))
+    judged = _with_distance(table.join(broadcast_if_small(final), "_group", "left"))
     distance = F.when(~F.col("base_failed"), F.col("_d2") / F.col("_scale"))
     return judged.select(
         "doc", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
@@ -224,4 +226,4 @@ def keep_regular(docs: DataFrame, **options) -> DataFrame:
 def quality_report(docs: DataFrame, **options) -> DataFrame:
     """doc_id, the counts, base_failed and kept of every document."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return judge(docs.select("doc_id", "text", "lang", "source"), **options).select("doc.doc_id", *names)
+    return judge(docs.select("doc_id", "text", "lang", "source"), keep=["doc_id"], **options).select("doc.doc_id", *names)
