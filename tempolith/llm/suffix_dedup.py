@@ -284,7 +284,7 @@ def _compare(contexts: DataFrame, span: int) -> DataFrame:
         for batch in batches:
             held.append(batch)
             size += batch.nbytes
-            if size < 4 * BUFFER:
+            if size < BUFFER:
                 continue
             t = pa.Table.from_batches(held)
             h = t.column(0).to_numpy()
