@@ -56,8 +56,8 @@ def _lengths(model, pieces: list[str]) -> list[int]:
 def frequent_lengths(docs: DataFrame, model_path: str, text_col: str, sample_docs: int, entries: int) -> dict[str, int]:
     """Lengths of the ``entries`` most frequent pre-tokens of at most ``sample_docs`` documents."""
     counts: Counter[str] = Counter()
-    rows = docs.select(F.substring(F.col(text_col).cast("string"), 1, 20_000).alias("t")).where("t <> ''").limit(sample_docs)
-    for row in rows.toLocalIterator():
+    rows = docs.select(F.substring(F.col(text_col).cast("string"), 1, 20_000).alias("t")).where("t <> ''")
+    for row in rows.take(sample_docs):  # runs as few tasks as it takes, and shuffles nothing
         counts.update(_cut(row.t) or ())
     pieces = [p for p, _ in counts.most_common(entries) if len(p) <= 64]
     return dict(zip(pieces, _lengths(_model(model_path), pieces))) if pieces else {}
