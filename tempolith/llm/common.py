@@ -52,3 +52,10 @@ def fresh(df: DataFrame, stem: str) -> str:
 def broadcast_if_small(table: DataFrame, rows: int = 100_000) -> DataFrame:
     """table, marked for broadcast if its counted rows are at most ``rows``; meant for written tables of short rows."""
     return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+
+
+def drawn(df: DataFrame, key: Column, rows: int, count: int) -> DataFrame:
+    """At most ``rows`` rows of df, which has ``count``, by a hash of key; few more rows reach the sort than leave it."""
+    spread = F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 40))
+    least = int((1 << 40) * min(1.0, 2 * rows / max(count, 1)))
+    return df.where(spread < least).orderBy(spread, key).limit(rows)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import drawn, materialize
 
 #: Words of the broadcast count table, and the bytes a word in it may have.
 TABLE_WORDS, WORD_BYTES = 200_000, 64
@@ -227,7 +227,14 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 def _vocabulary(counts: DataFrame, ends: int, emissions: int) -> Vocabulary:
     totals = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    top = counts.where(F.octet_length("word") <= WORD_BYTES).orderBy(F.desc("n"), "word").limit(TABLE_WORDS).toArrow()
+    # a histogram of logarithmic counts says above which count there are few enough words
+    short = counts.where(F.octet_length("word") <= WORD_BYTES).withColumn("bin", F.floor(F.log2("n") * 64))
+    least, room = 1 << 30, TABLE_WORDS
+    for b, words in sorted(((r.bin, r.v) for r in short.groupBy("bin").agg(F.count("*").alias("v")).collect()), reverse=True):
+        if words > room:
+            break
+        least, room = b, room - words
+    top = short.where(F.col("bin") >= least).select("word", "n").toArrow().sort_by([("n", "descending"), ("word", "ascending")])
     words, numbers = top.column("word").to_pylist(), top.column("n").to_numpy().astype(np.int64)
     return Vocabulary(words, numbers, min(emissions, len(words)), (totals.n or 0) + ends, totals.v + (ends > 0), ends)
 
@@ -238,8 +245,9 @@ def train(train_docs: DataFrame, vocabulary: Vocabulary, *, states: int, passes:
     share = np.concatenate([vocabulary.counts[:own], [vocabulary.ends, vocabulary.rest]]).astype(float) + ADD
     share /= share.sum()
     small = train_docs.where(F.octet_length("text") <= sample_bytes)
-    drawn = small.orderBy(F.xxhash64("text")).limit(sample_docs).select("text").toArrow().column(0).cast(pa.binary()).to_pylist()
-    model = warm_start(drawn, vocabulary, share, states, rounds, seed)
+    key = F.struct("doc_id", "text")
+    texts = drawn(small, key, sample_docs, vocabulary.ends).select("text").toArrow().column(0).cast(pa.binary()).to_pylist()
+    model = warm_start(texts, vocabulary, share, states, rounds, seed)
     vocabulary_ = spark.sparkContext.broadcast(vocabulary)
     names = ["row", *[f"k{i}" for i in range(states)]]
     for _ in range(passes):
