@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize
+from .common import drawn, fresh, materialize
 from .components import component_roots
 
 BITS = 64
@@ -153,8 +153,7 @@ def _forest(fps: np.ndarray, tau: int) -> tuple[np.ndarray, np.ndarray]:
 def links(distinct: DataFrame, tau: int) -> DataFrame:
     """(u, v) links whose chains connect all of distinct.fp that differ in at most tau bits."""
     count = distinct.count()
-    drawn = distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).toArrow().column("fp").to_numpy()
-    sample = drawn.astype(np.int64).view(np.uint64)
+    sample = drawn(distinct.select("fp"), F.col("fp"), SAMPLE, count).toArrow().column("fp").to_numpy().astype(np.int64).view(np.uint64)
     if count < 2:
         return distinct.select(F.col("fp").alias("u"), F.col("fp").alias("v")).where("false")
     parts = [
