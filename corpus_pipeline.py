@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tempolith.llm import decontam, line_dedup, packing, quality_rules, simhash
+from tempolith.llm import decontam, line_dedup, near_copies, packing, quality_rules
 from tempolith.llm.common import materialize
 from tempolith.llm.queries import tokenizer_path
 
@@ -25,8 +25,8 @@ def cut_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays."""
-    return simhash.drop_near_duplicates(docs)
+    """One document stays of each group linked by a similarity of 0.8 or more of five-word shingles."""
+    return near_copies.drop_near_copies(docs)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

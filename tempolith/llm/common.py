@@ -59,3 +59,22 @@ def drawn(df: DataFrame, key: Column, rows: int, count: int) -> DataFrame:
     spread = F.pmod(F.xxhash64(key, F.lit(7)), F.lit(1 << 40))
     least = int((1 << 40) * min(1.0, 2 * rows / max(count, 1)))
     return df.where(spread < least).orderBy(spread, key).limit(rows)
+
+
+def row_key(df: DataFrame, id_col: str, text_col: str) -> Column:
+    """What a row is told apart and ordered by: its id, null last, then hashes of its text and of all its columns."""
+    every = [x for c in df.columns for x in (F.col(f"`{c}`").cast("string"), F.col(f"`{c}`").isNull())]
+    return F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text"), F.xxhash64(*every).alias("row"))
+
+
+def keep_rows(keyed: DataFrame, key: str, winners: DataFrame) -> DataFrame:
+    """Rows of keyed whose row_key in the column ``key`` is among winners.who, one for each; the column goes."""
+    mine, n = fresh(keyed, "winner"), fresh(keyed, "times")
+    chosen = materialize(winners.select(F.col("who").alias(mine)), "winners")
+    kept = keyed.join(chosen, F.col(key) == F.col(mine), "left_semi")
+    # only rows repeated as a whole share a key; they are few, and the others need no look at each other
+    again = materialize(keyed.select(key).join(chosen, F.col(key) == F.col(mine), "left_semi").groupBy(key).agg(F.count("*").alias(n)).where(F.col(n) > 1).select(F.col(key).alias(mine)), "winners-again")
+    if not again.head(1):
+        return kept.drop(key)
+    once = kept.join(again, F.col(key) == F.col(mine), "left_anti")
+    return once.union(kept.join(again, F.col(key) == F.col(mine), "left_semi").dropDuplicates([key])).drop(key)

@@ -1,0 +1,155 @@
+"""Near copies by the Jaccard similarity of word shingles: banded MinHash proposes, the shingles verify.
+
+SimHash cannot propose such pairs at scale: at similarity 0.8 about 10 of 64 bits differ, and
+probing for 14 or more would compare a fixed share of all pairs.  Here each distinct text has
+BANDS keys of ROWS minima; texts that share a key are compared on all their shingles, block by
+block, and every comparison emits a forest of links.  A pair of similarity 0.8 shares no key
+with probability 3e-6, one of 0.9 with 1e-12; all links are exact.
+
+Defined cases: a text of fewer words than a shingle has one shingle of all its words, so null,
+empty and blank texts are copies of each other; a null doc_id stays only in components without
+other ids.  Distinct texts are told apart by 64-bit hashes of their lower-case words.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import fresh, keep_rows, materialize, row_key
+from .components import component_roots
+
+#: Keys of a text, and minima in a key.
+BANDS, ROWS = 32, 5
+#: Texts of one bucket that are compared in one block.
+BLOCK = 256
+_SEED = 42
+_STEP = 4_096
+_DRAWN = np.random.default_rng(_SEED).integers(0, 1 << 64, (3, BANDS * ROWS), np.uint64)
+_XOR, _TIMES, _FOLD = _DRAWN[0], _DRAWN[1] | np.uint64(1), _DRAWN[2] | np.uint64(1)
+
+
+def text_hash(text: bytes | None) -> int:
+    """64-bit hash of a text's lower-case words."""
+    return xxhash.xxh64_intdigest(b" ".join((text or b"").lower().split()), _SEED)
+
+
+def shingles(text: bytes | None, width: int = 5) -> np.ndarray:
+    """Distinct 64-bit hashes of all runs of ``width`` words."""
+    words = (text or b"").lower().split()
+    if len(words) < width:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), _SEED)], np.uint64)
+    each = np.array([xxhash.xxh64_intdigest(w, _SEED) for w in words], np.uint64)
+    runs = len(each) - width + 1
+    total = np.zeros(runs, np.uint64)
+    for i in range(width):
+        total = (total ^ each[i : i + runs]) * np.uint64(0x9E3779B97F4A7C15)
+        total ^= total >> np.uint64(29)
+    return np.unique(total)
+
+
+def band_keys(grams: np.ndarray) -> np.ndarray:
+    """BANDS keys; two texts share each with about the probability similarity ** ROWS."""
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(grams), _STEP):
+        np.minimum(least, ((grams[i : i + _STEP, None] ^ _XOR) * _TIMES).min(0), out=least)
+    folded = (least * _FOLD).reshape(BANDS, ROWS)
+    folded ^= folded >> np.uint64(31)
+    return np.bitwise_xor.reduce(folded * _TIMES[:ROWS], axis=1)
+
+
+def forest(grams: list[np.ndarray], tenths: int) -> list[tuple[int, int]]:
+    """Links that join what a chain of pairs of similarity tenths / 10 or more joins."""
+    ids, at = np.unique(np.concatenate(grams), return_inverse=True)
+    sizes = np.array([len(g) for g in grams])
+    starts = np.cumsum(sizes) - sizes
+    label, found = np.arange(len(grams)), []
+    for i in range(len(grams) - 1):
+        if (label == label[0]).all():
+            break
+        mine = np.zeros(len(ids), bool)
+        mine[at[starts[i] : starts[i] + sizes[i]]] = True
+        both = np.add.reduceat(mine[at].astype(np.int64), starts)
+        near = (10 * both >= tenths * (sizes[i] + sizes - both)) & (label != label[i])
+        for j in np.flatnonzero(near).tolist():
+            if label[j] != label[i]:
+                found.append((i, j))
+                label[label == label[j]] = label[i]
+    return found
+
+
+def links(texts: DataFrame, keys: DataFrame, width: int, tenths: int) -> DataFrame:
+    """(u, v) links of hashes: texts has (hash, text), repeats allowed; keys (hash, bands), a row for each hash."""
+    members = keys.select("hash", F.posexplode("bands").alias("band", "key"))
+    sets = members.groupBy("band", "key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("hash")).alias("s1"), F.bit_xor(F.xxhash64("hash", F.lit(1))).alias("s2")).where("n > 1")
+    # most bands show the same few texts together: one bucket for each set of texts
+    once = sets.groupBy("n", "s1", "s2").agg(F.min(F.struct("band", "key")).alias("b")).select("b.band", "b.key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    shared = materialize(members.join(once, ["band", "key"]), "near-copy-buckets")
+    wanted = shared.select("hash").distinct()
+    read = texts.join(wanted, "hash", "left_semi").groupBy("hash").agg(F.min("text").alias("text"))
+    rows = (
+        shared.withColumn("mine", F.pmod(F.xxhash64("hash", F.lit(1)), "blocks").cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("band", "key", F.least("mine", "other").alias("b1"), F.greatest("mine", "other").alias("b2"), "hash")
+    )
+    group = ["band", "key", "b1", "b2"]
+
+    def compare(batches):
+        """Sorted rows; a group that a batch leaves open goes on in the next one."""
+        now, hashes, grams, found = None, [], [], []
+
+        def close():
+            if len(hashes) > 1:
+                found.extend((hashes[i], hashes[j]) for i, j in forest(grams, tenths))
+
+        def flush():
+            made = pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(2)], ["u", "v"])
+            found.clear()
+            return made
+
+        for batch in batches:
+            for *key, one, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != now:
+                    close()
+                    now, hashes, grams = key, [], []
+                hashes.append(one)
+                grams.append(shingles(text, width))
+            yield flush()
+        close()
+        yield flush()
+
+    dealt = rows.join(read, "hash").select(*group, "hash", F.col("text").cast("binary").alias("text"))
+    return dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(compare, "u long, v long")
+
+
+def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5, tenths: int = 8) -> DataFrame:
+    """docs with one row of each component of texts whose shingles' similarity is tenths / 10 or more.
+
+    The row of the least (id, hash of the text, hash of the row) stays, null ids last.
+    """
+    who = fresh(docs, "near_row")
+    keyed = docs.withColumn(who, row_key(docs, id_col, text_col))
+    text = F.col(text_col).cast("string").alias("text")
+
+    def compute(batches):
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            hashes = pa.array(np.array([text_hash(t) for t in texts], np.uint64).view(np.int64))
+            bands = pa.array([band_keys(shingles(t, width)).view(np.int64) for t in texts], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), hashes, bands], ["who", "hash", "bands"])
+
+    def hashed(batches):
+        for batch in batches:
+            texts = batch.column(0).cast(pa.binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([text_hash(t) for t in texts], np.uint64).view(np.int64)), batch.column(0)], ["hash", "text"])
+
+    kind = keyed.select(who).schema[0].dataType.simpleString()
+    prints = keyed.select(F.col(who).alias("who"), text).mapInArrow(compute, f"who {kind}, hash long, bands array<long>")
+    distinct = materialize(prints.groupBy("hash").agg(F.min("who").alias("who"), F.first("bands").alias("bands")), "near-copy-keys")
+    found = links(docs.select(text).mapInArrow(hashed, "hash long, text string"), distinct.select("hash", "bands"), width, tenths)
+    roots = component_roots(found, "near-copy-links")
+    winners = distinct.join(roots, distinct.hash == roots.node, "left").groupBy(F.coalesce("root", "hash")).agg(F.min("who").alias("who")).select("who")
+    return keep_rows(keyed, who, winners)
