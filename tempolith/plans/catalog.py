@@ -193,9 +193,9 @@ def export_jsonl(spark, sf_dir):
 _PROBES_SQL = "probes as (select event_id as probe, 'evt:' || event_type || ':' || cast(user_id as varchar) as logical_key, epoch_us(ts) + 3600000000 as at_us from events where event_id % 5 = 0)"
 
 
-def _probes(spark, sf_dir) -> DataFrame:
+def _probes(spark, sf_dir, which: str = "event_id % 5 = 0") -> DataFrame:
     micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
-    e = _t(spark, sf_dir, "events").where("event_id % 5 = 0")  # the probes that the query is about
+    e = _t(spark, sf_dir, "events").where(which)  # the SQL has a fifth of the probes
     return e.select(F.col("event_id").alias("probe"), F.concat(F.lit("evt:"), "event_type", F.lit(":"), F.col("user_id").cast("string")).alias("logical_key"), (micros + 3_600_000_000).alias("at"))
 
 
@@ -204,6 +204,11 @@ def asof_join_probe(spark, sf_dir):
     return _text(asof.asof_join(_probes(spark, sf_dir), _ledger(spark, sf_dir))).withColumnRenamed("at", "at_us")
 
 
+@query()
+def asof_join_probe_all(spark, sf_dir):
+    return _text(asof.asof_join(_probes(spark, sf_dir, "true"), _ledger(spark, sf_dir))).withColumnRenamed("at", "at_us")
+
+
 @query(
     f"""with {_LEDGER_SQL}, m as (select distinct logical_key, write_nanos, max(seq) over (partition by logical_key order by write_nanos range unbounded preceding) as seq from ledger)
  select logical_key, write_nanos as from_nanos, lead(write_nanos) over (partition by logical_key order by write_nanos) as to_nanos, seq from m"""
@@ -506,9 +511,9 @@ def factor_correlation(spark, sf_dir):
     return plane.correlations(_series(spark, sf_dir)).select("factor_a", "factor_b", F.round("correlation", 8).alias("correlation"), "suspect")
 
 
-def _edges(spark, sf_dir) -> DataFrame:
+def _edges(spark, sf_dir, which: str = "p_partkey < 200") -> DataFrame:
     """Similarity edges among parts: the cosine-like score is given by their sizes."""
-    p = _t(spark, sf_dir, "part").where("p_partkey < 200")  # the catalog the gate looks at
+    p = _t(spark, sf_dir, "part").where(which)  # the SQL has the first parts alone
     a, b = p.select(F.col("p_name").alias("n"), F.col("p_partkey").alias("ka"), F.col("p_size").alias("sa")), p.select(F.col("p_partkey").alias("kb"), F.col("p_size").alias("sb"))
     j = a.join(b, F.col("sa") == F.col("sb")).where("ka < kb")
     text = lambda c: F.format_string("f%05d", c)
@@ -525,13 +530,19 @@ def suspect_duplicates(spark, sf_dir):
     return plane.suspect_duplicates(_edges(spark, sf_dir), admitted)
 
 
+@query()
+def suspect_duplicates_all(spark, sf_dir):
+    admitted = _t(spark, sf_dir, "part").where("p_partkey % 4 = 0").select(F.format_string("f%05d", "p_partkey").alias("factor"))
+    return plane.suspect_duplicates(_edges(spark, sf_dir, "true"), admitted)
+
+
 # ---- evidence graph: customers, orders, parts and suppliers stand for its four hops
 
 
-def _graph(spark, sf_dir):
+def _graph(spark, sf_dir, which: str = "c_custkey < 60"):
     customer, orders, line, part, supplier = (_t(spark, sf_dir, t) for t in ("customer", "orders", "lineitem", "part", "supplier"))
     text = lambda c: F.col(c).cast("string")
-    factors = customer.where("c_custkey < 60").select(text("c_custkey").alias("factor"))  # the factors asked about
+    factors = customer.where(which).select(text("c_custkey").alias("factor"))  # the SQL has the first customers alone
     edges = {
         "factor": orders.select(text("o_custkey").alias("src"), text("o_orderkey").alias("dst")),
         "experiment": line.where("l_quantity > 40").select(text("l_orderkey").alias("src"), text("l_partkey").alias("dst")),
@@ -567,7 +578,10 @@ def evidence_paths(spark, sf_dir):
  select cast(factor as varchar) as factor, experiments, strategies from x"""
 )
 def evidence_chain(spark, sf_dir):
-    chain = plane.evidence_chain(*_graph(spark, sf_dir))
+    return _chain_sizes(plane.evidence_chain(*_graph(spark, sf_dir)))
+
+
+def _chain_sizes(chain: DataFrame) -> DataFrame:
     return chain.select("factor", F.size("experiments").cast("long").alias("experiments"), F.aggregate("experiments", F.lit(0).cast("long"), lambda n, e: n + F.size(e["strategies"])).alias("strategies"))
 
 
@@ -582,6 +596,21 @@ def evidence_degraded(spark, sf_dir):
     return plane.evidence_degraded(*_graph(spark, sf_dir))
 
 
+@query()
+def evidence_paths_all(spark, sf_dir):
+    return plane.evidence_paths(*_graph(spark, sf_dir, "true"))
+
+
+@query()
+def evidence_chain_all(spark, sf_dir):
+    return _chain_sizes(plane.evidence_chain(*_graph(spark, sf_dir, "true")))
+
+
+@query()
+def evidence_degraded_all(spark, sf_dir):
+    return plane.evidence_degraded(*_graph(spark, sf_dir, "true"))
+
+
 @query("select distinct cast(o_orderkey as varchar) as target from orders where o_custkey = 7")
 def evidence_targets(spark, sf_dir):
     o = _t(spark, sf_dir, "orders").select(keys.edge_key("factor", F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string")).alias("logical_key"))
@@ -662,6 +691,12 @@ def latest_matching_event(spark, sf_dir):
     return jobs.latest_events(e, wanted).select("name", "slot", "seq", "outcome", "attempt")
 
 
+@query()
+def latest_matching_event_all(spark, sf_dir):
+    e = _job_events(spark, sf_dir)
+    return jobs.latest_events(e, e.select("name", "slot", "spec_fingerprint").distinct()).select("name", "slot", "seq", "outcome", "attempt")
+
+
 @query(f"with {_JOB_EVENTS_SQL} select seq, case outcome when 'succeeded' then 'succeeded' when 'alert' then 'alerting' else 'failed' end as phase, case when outcome = 'succeeded' and message = '' then 'ok' else message end as message, write_nanos as last_attempt_time from j")
 def event_to_status(spark, sf_dir):
     return _job_events(spark, sf_dir).withColumns(jobs.status_of_event()).select("seq", "phase", "message", "last_attempt_time")

@@ -1,0 +1,31 @@
+"""Queries over all customers, parts and probes against their siblings' SQL without its id filter."""
+
+import duckdb
+import pytest
+
+from tempolith.plans import catalog
+
+from .test_catalog import SF, TABLES, normal
+
+FILTERS = {
+    "asof_join_probe": " where event_id % 5 = 0",
+    "suspect_duplicates": " where p_partkey < 200",
+    "evidence_paths": " where c_custkey < 60",
+    "evidence_chain": " where c_custkey < 60",
+    "evidence_degraded": " where c_custkey < 60",
+    "latest_matching_event": " where name % 5 = 0",
+}
+
+
+@pytest.mark.parametrize("name", sorted(FILTERS))
+def test_whole_matches_unfiltered_sql(spark, name):
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    sql = catalog.SQL[name]
+    assert sql.count(FILTERS[name]) == 1
+    theirs, part = con.execute(sql.replace(FILTERS[name], "")).df(), con.execute(sql).df()
+    ours = catalog.QUERIES[f"{name}_all"](spark, SF).toPandas()
+    columns = sorted(ours.columns)
+    assert columns == sorted(theirs.columns) and len(ours) >= len(part)
+    assert normal(ours, columns) == normal(theirs, columns)
