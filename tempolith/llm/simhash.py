@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drawn, fresh, materialize
+from .common import drawn, fresh, keep_rows, materialize, row_key
 from .components import component_roots
 
 BITS = 64
@@ -246,20 +246,8 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, tau: int = 3) -> DataFrame:
-    """docs with one document of each component: the one of the least id.
-
-    Where several rows have that id, one row of the least text, then the least of the other
-    columns' hash, stays.  Rows of null ids stay only in components without other ids.
-    """
-    classes = near_duplicate_classes(docs, id_col=id_col, text_col=text_col, shingle=shingle, tau=tau)
-    key, pick, same = fresh(docs, "kept_key"), fresh(docs, "kept_pick"), fresh(docs, "kept_same")
-    winners = classes.where("id <=> component").select(F.col("id").alias(key)).distinct()
-    # ids are almost always unique: the row number runs over the few rows of one id
-    kept = docs.join(winners, docs[id_col].eqNullSafe(winners[key]), "left_semi")
-    if docs.select(id_col).distinct().count() == docs.count():
-        return kept
-    from pyspark.sql import Window
-
-    order = [F.col(text_col).asc_nulls_first(), F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in docs.columns])]
-    numbered = kept.withColumn(pick, F.row_number().over(Window.partitionBy(id_col).orderBy(*order)))
-    return numbered.where(F.col(pick) == 1).drop(pick)
+    """docs with one row of each component: that of the least (id, hash of the text, hash of the row), null ids last."""
+    who = fresh(docs, "kept_row")
+    keyed = docs.withColumn(who, row_key(docs, id_col, text_col))
+    classes = near_duplicate_classes(keyed, id_col=who, text_col=text_col, shingle=shingle, tau=tau)
+    return keep_rows(keyed, who, classes.select(F.col("component").alias("who")).distinct())
