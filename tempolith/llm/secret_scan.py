@@ -1,6 +1,7 @@
 """Secret scan with a random forest that removes false positives; DataFrame and SQL functions only.
 
-Candidates are runs of 12 or more characters of keys, with a digit.  Each has features of its
+Candidates are values after a key word and = or :, known prefixes with 8 or more characters of
+keys, and runs of 12 or more of them with a digit.  Each has features of its
 length, character classes and their transitions, dictionary coverage, the document's path and
 the neighbouring words.  A random forest (Spark's own, on the JVM) is fitted on labelled
 findings: by default rows made by rule, or any table of the same columns, of which at most
@@ -20,7 +21,12 @@ from pyspark.sql import functions as F
 
 from .common import fresh
 
-CANDIDATE = r"(?<![A-Za-z0-9_+/\-])(?=[A-Za-z0-9_+/\-]*[0-9])[A-Za-z0-9_+/\-]{12,}"
+_ASSIGNED = r"(?i:passw(?:or)?d|passwd|pwd|secret|token|api[ _-]?key|auth|bearer|credential|private|aws)[A-Za-z0-9_\-]{0,16}[\"']?\s{0,3}[=:]\s{0,3}"
+#: A value after a key word and = or :, in quotes or up to a space; a known prefix; or a long run with a digit.
+CANDIDATE = (
+    r"(?<=[\"'`])(?<=" + _ASSIGNED + r"[\"'`])[^\"'`\r\n]+|(?<=[=:\s])(?<=" + _ASSIGNED + r")(?![=:])[^\s\"'`]+"
+    r"|(?<![A-Za-z0-9_+/\-])(?:(?:AKIA|ASIA|ghp_|gho_|sk-|sk_live_|xox[bap]-|AIza|eyJ|glpat-)[A-Za-z0-9_+/\-]{8,}|(?=[A-Za-z0-9_+/\-]*[0-9])[A-Za-z0-9_+/\-]{12,})"
+)
 #: Code points of neighbouring text that features see.
 CONTEXT = 48
 _BLOCK = 256
@@ -72,7 +78,6 @@ def with_features(found: DataFrame) -> DataFrame:
 
 def labelled_findings(spark: SparkSession, rows: int = 8_000) -> DataFrame:
     """cand, before, after, path and label: findings made by rule, secrets and look-alikes."""
-    kinds = 20
     h = lambda salt: F.sha2(F.concat(F.col("id").cast("string"), F.lit(salt)), 256)
     number = lambda salt, n: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
     upper = lambda salt: F.translate(F.upper(h(salt)), "0123456789ABCDEF", "QW7RTY2UIP5SDFGH")
@@ -81,6 +86,9 @@ def labelled_findings(spark: SparkSession, rows: int = 8_000) -> DataFrame:
     digits = lambda salt: F.translate(h(salt), "abcdef", "135792")
     noise = F.element_at(F.array(*[F.lit(w) for w in "lorem doran tion, elwh heas. norre | itan".split()]), number("w", 8) + 1)
     word = F.element_at(F.array(*[F.lit(w) for w in "thereat onand release article update wheron inthes report".split()]), number("d", 8) + 1)
+    other = F.element_at(F.array(*[F.lit(w) for w in "horse stapler river doran, window. copper lantern heasin".split()]), number("o", 8) + 1)
+    mark = F.element_at(F.array(*[F.lit(w) for w in ". ! @ $ # %".split()]), number("m", 6) + 1)
+    letters = lambda text: F.translate(text, "0123456789", "KQWRTYUPSD")
     key = F.element_at(F.array(*[F.lit(w) for w in "password passwd pwd secret token api_key apikey auth_token client_secret".split()]), number("k", 9) + 1)
     sign = F.element_at(F.array(*[F.lit(w) for w in ["=", " = ", ": ", "=\"", " = \"", ": '"]]), number("s", 6) + 1)
     fact = F.element_at(F.array(*[F.lit(w) for w in "commit sha256 md5 checksum uuid order version build invoice".split()]), number("f", 9) + 1)
@@ -100,7 +108,15 @@ def labelled_findings(spark: SparkSession, rows: int = 8_000) -> DataFrame:
         (F.concat(F.lit("eyJ"), F.substring(plain("h"), 1, 36)), assigned, 1),
         (cut(mixed("i"), 30, 10, "i"), assigned, 1),
         (F.concat(word, F.substring(plain("j"), 1, 8)), F.concat(noise, F.lit(" password"), sign), 1),
+        (F.concat(F.lit("AKIA"), letters(F.substring(upper("A"), 1, 16))), space, 1),
+        (cut(letters(plain("B")), 10, 24, "B"), assigned, 1),
+        (F.concat(F.initcap(word), F.initcap(other), F.initcap(word)), assigned, 1),
+        (F.concat(cut(plain("C"), 1, 4, "C"), mark, F.substring(plain("D"), 1, 3), mark, F.substring(plain("E"), 1, 2)), assigned, 1),
         # look-alikes
+        (word, assigned, 0),
+        (other, assigned, 0),
+        (F.element_at(F.array(*[F.lit(w) for w in "None null true false required the is optional".split()]), number("y", 8) + 1), assigned, 0),
+        (F.concat_ws("-", F.lit("sk"), word, other), space, 0),
         (F.substring(digits("k"), 1, 16), space, 0),
         (cut(digits("l"), 12, 20, "l"), F.concat(noise, F.lit(" "), fact, F.lit(" ")), 0),
         (F.substring(h("m"), 1, 40), F.concat(noise, F.lit(" "), fact, F.lit(" ")), 0),
@@ -113,7 +129,7 @@ def labelled_findings(spark: SparkSession, rows: int = 8_000) -> DataFrame:
         (F.concat(word, word, F.substring(digits("t"), 1, 3)), space, 0),
     ]
     pick = lambda i: F.element_at(F.array(*[(F.lit(m[i]) if i == 2 else m[i]).cast("string" if i < 2 else "double") for m in made]), F.col("kind") + 1)
-    base = spark.range(rows).withColumn("kind", (F.col("id") % kinds).cast("int"))
+    base = spark.range(rows).withColumn("kind", (F.col("id") % len(made)).cast("int"))
     opened = F.when(pick(1).rlike("\"$"), "\" ").when(pick(1).rlike("'$"), "' ").otherwise(" ")
     path = F.when(number("x", 10) == 0, F.concat(F.lit("tests/"), word)).otherwise(F.concat(F.lit("src"), number("y", 40).cast("string")))
     return base.select(pick(0).alias("cand"), pick(1).alias("before"), F.concat(opened, noise, empty).alias("after"), path.alias("path"), pick(2).alias("label"))
