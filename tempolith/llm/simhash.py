@@ -8,8 +8,17 @@ looks up every value within t_i of a fingerprint's bits, and candidates are veri
 64 bits.  Large buckets are compared block by block in many tasks, and every comparison
 emits a forest of links, not all pairs.  Estimates steer cost alone: links are exact.
 
+near_duplicate_classes links fingerprints of one kind that differ in at most tau bits.
+drop_near_duplicates wants more: every pair of texts whose five-word shingles have a Jaccard
+similarity of 0.8 or more.  About 10 of 64 bits of such a pair differ, and probing for so many
+would compare a fixed share of all pairs.  So TABLES independent fingerprints of the distinct
+pairs of words, which edits change less, are each probed by the same plan for PROBE_TAU bits;
+what meets in any bucket is a candidate and is verified on its shingles.
+
 Defined cases: null, empty and blank texts have fingerprint zero and link like any other; a
-null doc_id is never a component's id unless all its ids are null; repeated rows stay.
+null doc_id is never a component's id unless all its ids are null; repeated rows stay.  To
+drop_near_duplicates a text of fewer words than a shingle is one shingle of all its words, and
+distinct texts are told apart by 64-bit hashes of their lower-case words.
 """
 
 from __future__ import annotations
@@ -23,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drawn, fresh, keep_rows, materialize, row_key
+from .common import broadcast_if_small, drawn, fresh, keep_rows, materialize, row_key
 from .components import component_roots
 
 BITS = 64
@@ -31,8 +40,17 @@ BITS = 64
 SAMPLE = 4_096
 #: Fingerprints of one bucket that are compared in one block.
 BLOCK = 1_024
+#: Independent fingerprints of drop_near_duplicates, the words of their shingles, and the bits they are probed for.
+TABLES, PROBE_WORDS, PROBE_TAU = 12, 2, 2
+#: Leading fingerprints of those that a comparison before the texts looks at, and the most bits they may differ in:
+#: 0.15 of the bits of a pair of similarity 0.8 differ, within 6 deviations at most 0.28, and 0.45 of an unrelated pair's.
+LOOSE, LOOSE_TAU = 4, 72
+#: Texts of one bucket that are compared in one block.
+TEXT_BLOCK = 1_024
 _SEED = 42
 _STEP = 1 << 15
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_XOR, _TIMES = np.random.default_rng(_SEED).integers(0, 1 << 64, (2, TABLES), np.uint64) | np.uint64(1)
 
 
 def fingerprint(text: bytes | None, shingle: int = 3) -> int:
@@ -245,9 +263,185 @@ def fingerprint_report(docs: DataFrame) -> DataFrame:
     )
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, tau: int = 3) -> DataFrame:
-    """docs with one row of each component: that of the least (id, hash of the text, hash of the row), null ids last."""
+def text_hash(text: bytes | None) -> int:
+    """64-bit hash of a text's lower-case words."""
+    return xxhash.xxh64_intdigest(b" ".join((text or b"").lower().split()), _SEED)
+
+
+def shingles(text: bytes | None, width: int = 5) -> np.ndarray:
+    """Distinct 64-bit hashes of all runs of ``width`` words."""
+    words = (text or b"").lower().split()
+    if len(words) < width:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), _SEED)], np.uint64)
+    each = np.array([xxhash.xxh64_intdigest(w, _SEED) for w in words], np.uint64)
+    runs = len(each) - width + 1
+    total = np.zeros(runs, np.uint64)
+    for i in range(width):
+        total = (total ^ each[i : i + runs]) * _GOLDEN
+        total ^= total >> np.uint64(29)
+    return np.unique(total)
+
+
+def table_prints(grams: np.ndarray) -> np.ndarray:
+    """TABLES independent 64-bit SimHashes of distinct shingles."""
+    ones = np.zeros(TABLES * BITS, np.int64)
+    for i in range(0, len(grams), 255):  # so many ones fit a byte
+        h = (grams[i : i + 255, None] ^ _XOR) * _TIMES
+        h = (h ^ (h >> np.uint64(32))) * _GOLDEN
+        h ^= h >> np.uint64(29)
+        ones += np.unpackbits(h.astype("<u8").view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(2 * ones > len(grams), bitorder="little").view("<u8")
+
+
+def shingle_forest(grams: list[np.ndarray], tenths: int, label: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join what a chain of pairs of similarity tenths / 10 or more joins, beside what has one label already."""
+    ids, at = np.unique(np.concatenate(grams), return_inverse=True)
+    sizes = np.array([len(g) for g in grams])
+    starts = np.cumsum(sizes) - sizes
+    label, found = label.copy(), []
+    for i in range(len(grams) - 1):
+        if (label == label[0]).all():
+            break
+        mine = np.zeros(len(ids), bool)
+        mine[at[starts[i] : starts[i] + sizes[i]]] = True
+        both = np.add.reduceat(mine[at].astype(np.int64), starts)
+        near = (10 * both >= tenths * (sizes[i] + sizes - both)) & (label != label[i])
+        for j in np.flatnonzero(near).tolist():
+            if label[j] != label[i]:
+                found.append((i, j))
+                label[label == label[j]] = label[i]
+    return found
+
+
+def _grouped(batches, keys: int):
+    """Rows of sorted batches as (key, rows of a group); a group that a batch leaves open goes on in the next one."""
+    now, held = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[:keys] != now:
+                if len(held) > 1:
+                    yield now, held
+                now, held = row[:keys], []
+            held.append(row[keys:])
+    if len(held) > 1:
+        yield now, held
+
+
+def _in_blocks(rows: DataFrame, n: str, block: int) -> DataFrame:
+    """rows (part, key, hash, ...) of buckets of n rows, dealt to the pairs of their bucket's blocks (b1, b2)."""
+    blocks = rows.withColumn("_blocks", F.ceil(F.col(n) / block).cast("int")).drop(n)
+    mine = blocks.withColumn("_mine", F.pmod(F.xxhash64("hash", F.lit(1)), "_blocks").cast("int"))
+    both = mine.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return both.withColumns({"b1": F.least("_mine", "_other"), "b2": F.greatest("_mine", "_other")}).drop("_blocks", "_mine", "_other")
+
+
+def _buckets(distinct: DataFrame, plans: list[tuple[int, int, list[int]]]) -> DataFrame:
+    """(part, key, hash) of the buckets of plans (table, mask, flips) in which texts meet that are close by their leading fingerprints."""
+    probes = [
+        F.struct(F.lit(i).alias("part"), F.get("prints", F.lit(t)).bitwiseAND(F.lit(mask)).alias("own"), F.array(*[F.lit(f) for f in flips]).alias("flips"))
+        for i, (t, mask, flips) in enumerate(plans)
+    ]
+    each = distinct.select("hash", F.explode(F.array(*probes)).alias("p")).select("hash", "p.part", "p.own", F.explode("p.flips").alias("flip"))
+    members = each.select("part", F.col("own").bitwiseXOR(F.col("flip")).alias("key"), "hash", (F.col("flip") == 0).cast("int").alias("own"))
+    sizes = members.groupBy("part", "key").agg(F.count("*").alias("n"), F.sum("own").alias("own_n")).where("n > 1 and own_n > 0").drop("own_n")
+    leading = distinct.select("hash", *[F.get("prints", F.lit(i)).alias(f"f{i}") for i in range(LOOSE)])
+    met = members.drop("own").join(sizes, ["part", "key"])
+    dealt = _in_blocks(met.join(leading, "hash"), "n", BLOCK).select("part", "key", "b1", "b2", "hash", *[f"f{i}" for i in range(LOOSE)])
+
+    def compare(batches):
+        for key, rows in _grouped(batches, 4):
+            values = np.array(rows, np.int64)
+            prints = values[:, 1:].view(np.uint64)
+            near = np.zeros((len(rows), len(rows)), np.uint16)
+            for i in range(LOOSE):
+                near += np.bitwise_count(prints[:, None, i] ^ prints[None, :, i])
+            some = np.flatnonzero((near <= LOOSE_TAU).sum(1) > 1)
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(some), pa.int32()), pa.array([key[1]] * len(some), pa.int64()), pa.array(values[some, 0])], ["part", "key", "hash"])
+
+    group = ["part", "key", "b1", "b2"]
+    return dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(_merged(compare), "part int, key long, hash long").distinct()
+
+
+def _merged(work):
+    """work over batches, its small results put together."""
+
+    def run(batches):
+        held, rows = [], 0
+        for made in work(batches):
+            held.append(made)
+            rows += made.num_rows
+            if rows >= 10_000:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, rows = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    return run
+
+
+def _verified(texts: DataFrame, met: DataFrame, roots: DataFrame | None, shingle: int, tenths: int) -> DataFrame:
+    """(u, v) links of hashes that meet (part, key, hash) in buckets and are of different roots: texts has (hash, text), repeats allowed."""
+    rooted = met.withColumn("root", F.col("hash"))
+    if roots is not None:
+        known = broadcast_if_small(roots.select(F.col("node").alias("hash"), F.col("root").alias("known")), 1_000_000)
+        rooted = met.join(known, "hash", "left").withColumn("root", F.coalesce("known", "hash")).drop("known")
+    sets = rooted.groupBy("part", "key").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("hash")).alias("s1"), F.bit_xor(F.xxhash64("hash", F.lit(1))).alias("s2"), F.min("root").alias("lo"), F.max("root").alias("hi")
+    ).where("n > 1 and lo < hi")
+    # many buckets show the same few texts together: one for each set of texts
+    once = sets.groupBy("n", "s1", "s2").agg(F.min(F.struct("part", "key")).alias("b")).select("b.part", "b.key", "n")
+    shared = materialize(rooted.join(once, ["part", "key"]), "simhash-buckets")
+    wanted = broadcast_if_small(materialize(shared.select("hash").distinct(), "simhash-wanted"), 1_000_000)
+    read = texts.join(wanted, "hash", "left_semi").groupBy("hash").agg(F.min("text").alias("text"))
+    dealt = _in_blocks(shared, "n", TEXT_BLOCK).join(read, "hash").select("part", "key", "b1", "b2", "hash", "root", F.col("text").cast("binary").alias("text"))
+
+    def compare(batches):
+        for _, rows in _grouped(batches, 4):
+            found = shingle_forest([shingles(t, shingle) for _, _, t in rows], tenths, np.array([r for _, r, _ in rows]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([rows[x[i]][0] for x in found], pa.int64()) for i in range(2)], ["u", "v"])
+
+    group = ["part", "key", "b1", "b2"]
+    return dealt.repartition(*group).sortWithinPartitions(*group).mapInArrow(_merged(compare), "u long, v long")
+
+
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, tenths: int = 8) -> DataFrame:
+    """docs with one row of each component of texts whose shingles' similarity is tenths / 10 or more.
+
+    The row of the least (id, hash of the text, hash of the row) stays, null ids last.  The first
+    two tables are probed and linked before the others, which then skip buckets of one component.
+    """
     who = fresh(docs, "kept_row")
     keyed = docs.withColumn(who, row_key(docs, id_col, text_col))
-    classes = near_duplicate_classes(keyed, id_col=who, text_col=text_col, shingle=shingle, tau=tau)
-    return keep_rows(keyed, who, classes.select(F.col("component").alias("who")).distinct())
+    text = F.col(text_col).cast("string").alias("text")
+
+    def compute(batches):
+        for batch in batches:
+            texts = batch.column(1).cast(pa.binary()).to_pylist()
+            hashes = pa.array(np.array([text_hash(t) for t in texts], np.uint64).view(np.int64))
+            prints = pa.array([table_prints(shingles(t, PROBE_WORDS)).view(np.int64) for t in texts], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), hashes, prints], ["who", "hash", "prints"])
+
+    def hashed(batches):
+        for batch in batches:
+            texts = batch.column(0).cast(pa.binary()).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([text_hash(t) for t in texts], np.uint64).view(np.int64)), batch.column(0)], ["hash", "text"])
+
+    kind = keyed.select(who).schema[0].dataType.simpleString()
+    prints = keyed.select(F.col(who).alias("who"), text).mapInArrow(compute, f"who {kind}, hash long, prints array<long>")
+    distinct = materialize(prints.groupBy("hash").agg(F.min("who").alias("who"), F.first("prints").alias("prints")), "simhash-tables")
+    texts, keys = docs.select(text).mapInArrow(hashed, "hash long, text string"), distinct.select("hash", "prints")
+    count = distinct.count()
+    if count:
+        sample = np.array(drawn(keys, F.col("hash"), SAMPLE // 2, count).select("prints").toArrow().column("prints").to_pylist(), np.int64).view(np.uint64)
+        plans = [(t, mask, flips) for t in range(TABLES) for mask, flips in plan_probes(sample[:, t], count, PROBE_TAU)]
+    roots = None
+    for part in ([p for p in plans if p[0] < 2], [p for p in plans if p[0] >= 2]) if count > 1 else ():
+        found = _verified(texts, materialize(_buckets(keys, part), "simhash-met"), roots, shingle, tenths)
+        if roots is not None:
+            found = found.union(roots.select("node", "root"))
+        roots = materialize(component_roots(found, "simhash-links"), "simhash-roots")
+    named = distinct if roots is None else distinct.join(roots, distinct.hash == roots.node, "left")
+    root = F.col("hash") if roots is None else F.coalesce("root", "hash")
+    return keep_rows(keyed, who, named.groupBy(root).agg(F.min("who").alias("who")).select("who"))

@@ -3,7 +3,7 @@
 import numpy as np
 
 import corpus_pipeline
-from tempolith.llm import near_copies
+from tempolith.llm import simhash
 
 from .test_corpus_operators import roots_of
 from .test_text_operators import docs
@@ -21,7 +21,8 @@ def expected(rows):
 
 
 def test_pipeline_drops_scattered_edits(spark, monkeypatch):
-    monkeypatch.setattr(near_copies, "BLOCK", 4)
+    monkeypatch.setattr(simhash, "BLOCK", 4)
+    monkeypatch.setattr(simhash, "TEXT_BLOCK", 4)
     rng = np.random.default_rng(3)
     rows = []
     for family in range(12):
@@ -34,4 +35,24 @@ def test_pipeline_drops_scattered_edits(spark, monkeypatch):
     rows += [(1000, None), (1001, " "), (1002, "a b"), (1003, "A  b")]
     kept = corpus_pipeline.drop_near_copies(spark, docs(spark, rows), "")
     assert sorted(r.doc_id for r in kept.collect()) == sorted(expected(rows))
-    assert kept.columns == docs(spark, []).columns and near_copies.drop_near_copies(docs(spark, [])).count() == 0
+    assert kept.columns == docs(spark, []).columns and simhash.drop_near_duplicates(docs(spark, [])).count() == 0
+
+
+def test_pairs_of_the_least_similarity_are_proposed():
+    """Share of pairs at similarity 0.8 to 0.9, by single edits and by an added passage, that meet in a probed bucket."""
+    rng = np.random.default_rng(4)
+    mask = [np.uint64(((1 << 21) - 1) << (21 * i)) for i in range(3)]
+    for kind in ("edits", "passage"):
+        met = 0
+        for _ in range(60):
+            words = [b"w%d" % x for x in rng.zipf(1.3, 600) % 20000]
+            other = list(words)
+            if kind == "edits":
+                for at in rng.choice(600, 11, replace=False):
+                    other[at] = b"new%d" % rng.integers(0, 10**6)
+            else:
+                other += [b"w%d" % x for x in rng.zipf(1.3, 60) % 20000]
+            a, b = (simhash.table_prints(simhash.shingles(b" ".join(x), simhash.PROBE_WORDS)) for x in (words, other))
+            met += any(((a ^ b) & m == 0).any() for m in mask)
+            assert sum(int(x) for x in np.bitwise_count(a[: simhash.LOOSE] ^ b[: simhash.LOOSE])) <= simhash.LOOSE_TAU
+        assert met >= 54
