@@ -3,12 +3,17 @@
 Each text gives exact counts and a vector of transformed statistics.  Vectors are grouped by
 language and source; groups of fewer than ``min_group`` base-passing rows are pooled by
 language, and what is still small is pooled over all.  Per group the minimum covariance
-determinant is approximated from a deterministic start (medians and median deviations) by
-concentration steps, each one scan and one small aggregation: rows are binned by squared
-distance, and running sums over the bins give mean and covariance of the half with the least
-distances.  Statistics are integers in steps of 1/256, so every sum is exact and results do
-not depend on partitioning.  A fixed variance floor keeps constant statistics usable.  Rows
-whose squared Mahalanobis distance exceeds ``cutoff`` are rejected.
+determinant is searched from several starts: medians and median deviations, and means and
+covariances of small subsets drawn by hash.  A concentration step is one scan and one small
+aggregation: rows are binned by squared distance, and running sums over the bins give mean and
+covariance of the half with the least distances (exact up to a bin of 1/1024 log-distance).
+After two steps the start of the least determinant goes on alone, until no group's determinant
+falls.  The rows within the 97.5 % point of chi-squared around it give the reweighted estimate,
+and rows beyond its ``quantile`` point are rejected.
+
+Statistics are integers in steps of 1/256, so every sum is exact and results do not depend on
+partitioning.  Variances get a fixed floor, the spread that means nothing: most texts repeat no
+line and have no symbols, and half of them would have no variance at all.
 
 Defined cases: null text has no words and fails the base rules; null language or source is a
 value of its own; base-failed rows never enter an estimate; a pool of fewer than
@@ -17,6 +22,7 @@ value of its own; base-failed rows never enter an estimate; a pool of fewer than
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,11 +31,33 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, materialize, words
 
 #: Steps of the statistics in one unit, and of the logarithm of a distance in one bin.
-UNIT, BINS = 256, 64
-#: (name, standard deviation that the variance never falls below)
-FEATURES = (("len", 0.5), ("word", 0.5), ("symbols", 0.03), ("lines", 0.12), ("repeats", 0.12))
-#: Median of a chi-squared variable with as many degrees of freedom as features.
-_CHI2_MEDIAN = 4.351
+UNIT, BINS = 256, 1024
+#: (name, standard deviation whose square each variance gets on top)
+FEATURES = (("len", 0.1), ("word", 0.02), ("symbols", 0.02), ("lines", 0.1), ("repeats", 0.1))
+#: Drawn subsets that the search starts from, and the rows expected in each.
+SUBSETS, SUBSET_ROWS = 4, 18
+#: Shares of a group that join an estimate as rows of their own where it cannot be broadcast.
+SALTS = 16
+
+
+def chi2_share(x: float, degrees: int) -> float:
+    """Probability that a chi-squared variable is at most x, by the series of the incomplete gamma function."""
+    a, x = degrees / 2, x / 2
+    term = total = 1 / a
+    k = a
+    while term > total * 1e-17:
+        k += 1
+        term *= x / k
+        total += term
+    return total * math.exp(a * math.log(x) - x - math.lgamma(a)) if x > 0 else 0.0
+
+
+def chi2_point(share: float, degrees: int) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        mid = (low + high) / 2
+        low, high = (mid, high) if chi2_share(mid, degrees) < share else (low, mid)
+    return high
 
 
 def text_counts(text: Column) -> dict[str, Column]:
@@ -60,21 +88,22 @@ def _covered(grams: Column) -> Column:
 def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and _n_lines.
 
-    docs must not have columns of these names, nor of ``_w``, ``_l``, ``_g`` and ``_covered``.
+    docs must not have columns of these names, nor of ``_w``, ``_l``, ``_h``, ``_g`` and ``_covered``.
     """
-    n = F.size("_w")
+    # 64-bit hashes stand for words and windows; that two windows of one text share one is beyond belief
     grams = F.transform(
-        F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(F.concat_ws(" ", F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)).alias("g"), i.alias("at")),
+        F.slice("_h", F.lit(1), F.greatest(F.size("_h") - 2, F.lit(0))),
+        lambda x, i: F.struct(F.xxhash64(x, F.get("_h", i + 1), F.get("_h", i + 2)).alias("g"), i.alias("at")),
     )
     lines = F.filter(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counted = (
         docs.withColumns({"_w": words(F.col(text_col)), "_l": lines})
+        .withColumn("_h", F.transform("_w", lambda w: F.xxhash64(w)))
         .withColumn("_g", F.sort_array(grams))
         .withColumn("_covered", _covered(F.col("_g")))
         .withColumns(text_counts(F.col(text_col)))
     )
-    return counted.drop("_w", "_l", "_g", "_covered")
+    return counted.drop("_w", "_l", "_h", "_g", "_covered")
 
 
 def base_failed() -> Column:
@@ -85,13 +114,12 @@ def _features() -> dict[str, Column]:
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     share = {
         "len": F.log(n),
-        "word": F.col("word_chars") / n,
+        "word": F.log(F.greatest(F.col("word_chars"), F.lit(1)) / n),
         "symbols": F.log1p(F.col("n_symbols") / n),
         "lines": F.col("n_dup_lines") / F.greatest(F.col("_n_lines"), F.lit(1)),
         "repeats": F.col("n_repeat_words") / n,
     }
-    # a mean word length beyond 40 says no more than 40 does; it also keeps sums in 64 bits
-    return {f"_x_{k}": F.round(F.least(v, F.lit(40.0)) * UNIT).cast("long") for k, v in share.items()}
+    return {f"_x_{k}": F.round(v * UNIT).cast("long") for k, v in share.items()}
 
 
 def _pairs() -> list[tuple[int, int]]:
@@ -125,8 +153,45 @@ def _with_group(df: DataFrame, lang: str, source: str, min_group: int) -> DataFr
     return df.join(sizes, F.col("_both") == F.col("_key"), "left").drop("_key").withColumnRenamed("_to", "_group").drop("_both", "_one")
 
 
-def _start(rows: DataFrame, min_group: int) -> DataFrame:
-    """Medians and scaled median deviations per group, exact, from counts of the integer values."""
+def _attach(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """rows with the columns of their group in a written table, a group's rows spread over tasks."""
+    small = broadcast_if_small(table)
+    if small is not table:
+        return rows.join(small, "_group")
+    salt = F.pmod(F.xxhash64(*[_x(i) for i in range(len(FEATURES))]), F.lit(SALTS))
+    many = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    return rows.withColumn("_salt", salt).join(many, ["_group", "_salt"]).drop("_salt")
+
+
+def _sums() -> dict[str, Column]:
+    return {f"_s_{i}": F.sum(_x(i)) for i in range(len(FEATURES))} | {f"_s_{i}_{j}": F.sum(_x(i) * _x(j)) for i, j in _pairs()}
+
+
+def _with_factor(est: DataFrame) -> DataFrame:
+    """_group, _start, mean, the Cholesky factor of the covariance, floors added, and _logdet, from sums over _h rows."""
+    n = F.col("_h").cast("double")
+    est = est.withColumns({f"_mu_{i}": F.col(f"_s_{i}") / n for i in range(len(FEATURES))})
+    for i, j in _pairs():
+        value = F.col(f"_s_{i}_{j}") / n - F.col(f"_mu_{i}") * F.col(f"_mu_{j}")
+        if i == j:
+            value = F.greatest(value, F.lit(0.0)) + (FEATURES[i][1] * UNIT) ** 2
+        value = value - _value(F.col(f"_l_{i}_{k}") * F.col(f"_l_{j}_{k}") for k in range(j))
+        # what rounding leaves of a variance is no less than a hundredth of its floor
+        least = F.lit((FEATURES[i][1] * UNIT) ** 2 / 100)
+        est = est.withColumn(f"_l_{i}_{j}", F.sqrt(F.greatest(value, least)) if i == j else value / F.col(f"_l_{j}_{j}"))
+    return est.withColumn("_logdet", _logdet()).select("_group", "_start", "_logdet", *_shape())
+
+
+def _logdet() -> Column:
+    return 2 * _value(F.log(F.col(f"_l_{i}_{i}")) for i in range(len(FEATURES)))
+
+
+def _shape() -> list[str]:
+    return [f"_mu_{i}" for i in range(len(FEATURES))] + [f"_l_{i}_{j}" for i, j in _pairs()]
+
+
+def _starts(rows: DataFrame, min_group: int) -> DataFrame:
+    """Estimates to start from, per group: start 0 of medians and median deviations, the others of drawn subsets."""
     names = [f for f, _ in FEATURES]
 
     def medians(df: DataFrame, values: list[Column], out: str) -> DataFrame:
@@ -140,51 +205,56 @@ def _start(rows: DataFrame, min_group: int) -> DataFrame:
             F.max("_all").alias("_n"),
         )
 
-    middle = medians(rows, [_x(i) for i in range(len(FEATURES))], "mid").where(F.col("_n") >= min_group)
-    far = medians(rows.join(middle.drop("_n"), "_group"), [F.abs(_x(i) - F.col(f"_mid_{f}")) for i, f in enumerate(names)], "mad")
-    return middle.join(far.drop("_n"), "_group")
-
-
-def _start_distance() -> Column:
-    return _value(
-        F.pow((_x(i) - F.col(f"_mid_{f}")) / F.greatest(1.4826 * F.col(f"_mad_{f}"), F.lit(floor * UNIT)), F.lit(2.0))
-        for i, (f, floor) in enumerate(FEATURES)
-    )
-
-
-def _with_factor(est: DataFrame) -> DataFrame:
-    """Mean and the Cholesky factor of the covariance, floors added, from sums over the chosen half."""
-    n = F.col("_h").cast("double")
-    est = est.withColumns({f"_mu_{i}": F.col(f"_s_{i}") / n for i in range(len(FEATURES))})
-    for i, j in _pairs():
-        value = F.col(f"_s_{i}_{j}") / n - F.col(f"_mu_{i}") * F.col(f"_mu_{j}")
-        if i == j:
-            value = F.greatest(value, F.lit(0.0)) + (FEATURES[i][1] * UNIT) ** 2
-        value = value - _value(F.col(f"_l_{i}_{k}") * F.col(f"_l_{j}_{k}") for k in range(j))
-        est = est.withColumn(f"_l_{i}_{j}", F.sqrt(F.greatest(value, F.lit(1.0))) if i == j else value / F.col(f"_l_{j}_{j}"))
-    return est
+    middle = materialize(medians(rows, [_x(i) for i in range(len(FEATURES))], "mid").where(F.col("_n") >= min_group), "quality-middle")
+    centred = _attach(rows, middle)
+    far = medians(centred, [F.abs(_x(i) - F.col(f"_mid_{f}")) for i, f in enumerate(names)], "mad")
+    plain = {f"_mu_{i}": F.col(f"_mid_{f}").cast("double") for i, f in enumerate(names)}
+    plain |= {f"_l_{i}_{j}": F.greatest(1.4826 * F.col(f"_mad_{names[i]}"), F.lit(FEATURES[i][1] * UNIT)) if i == j else F.lit(0.0) for i, j in _pairs()}
+    first = middle.join(far.drop("_n"), "_group").withColumns(plain).select("_group", F.lit(0).alias("_start"), _logdet().alias("_logdet"), *_shape())
+    # rows of one vector are drawn together
+    shares = [F.pmod(F.xxhash64(*[_x(i) for i in range(len(FEATURES))], F.lit(k)), F.col("_n")) < SUBSET_ROWS for k in range(1, SUBSETS + 1)]
+    drawn = centred.withColumn("_start", F.explode(F.filter(F.array(*[F.when(s, k) for k, s in enumerate(shares, 1)]), lambda x: x.isNotNull())))
+    sums = drawn.groupBy("_group", "_start").agg(F.count("*").alias("_h"), *[v.alias(k) for k, v in _sums().items()])
+    return first.union(_with_factor(sums))
 
 
 def _with_distance(rows: DataFrame) -> DataFrame:
-    """rows joined with the estimates, with _d2."""
+    """rows joined with estimates, with _d2."""
     for i in range(len(FEATURES)):
         inner = _value(F.col(f"_l_{i}_{k}") * F.col(f"_y_{k}") for k in range(i))
         rows = rows.withColumn(f"_y_{i}", (_x(i) - F.col(f"_mu_{i}") - inner) / F.col(f"_l_{i}_{i}"))
     return rows.withColumn("_d2", _value(F.col(f"_y_{i}") * F.col(f"_y_{i}") for i in range(len(FEATURES))))
 
 
-def _concentrate(rows: DataFrame) -> DataFrame:
-    """Sums over the half of each group with the least _d2, and the median's bin."""
-    sums = {f"_s_{i}": F.sum(_x(i)) for i in range(len(FEATURES))} | {f"_s_{i}_{j}": F.sum(_x(i) * _x(j)) for i, j in _pairs()}
-    bins = rows.withColumn("_bin", F.floor(F.log1p("_d2") * BINS)).groupBy("_group", "_bin").agg(F.count("*").alias("_h"), *[v.alias(k) for k, v in sums.items()])
-    run, whole = Window.partitionBy("_group").orderBy("_bin"), Window.partitionBy("_group")
-    cum = bins.select("_group", "_bin", F.sum("_h").over(whole).alias("_n"), *[F.sum(k).over(run).alias(k) for k in ["_h", *sums]])
+def _half(rows: DataFrame) -> DataFrame:
+    """Sums over the half of each (_group, _start) with the least _d2, and the median's _bin."""
+    sums, keys = _sums(), ["_group", "_start"]
+    bins = rows.withColumn("_bin", F.floor(F.log1p("_d2") * BINS)).groupBy(*keys, "_bin").agg(F.count("*").alias("_h"), *[v.alias(k) for k, v in sums.items()])
+    run, whole = Window.partitionBy(*keys).orderBy("_bin"), Window.partitionBy(*keys)
+    cum = bins.select(*keys, "_bin", F.sum("_h").over(whole).alias("_n"), *[F.sum(k).over(run).alias(k) for k in ["_h", *sums]])
     # the first bin at which half of the rows are in
-    first = Window.partitionBy("_group").orderBy("_bin")
-    return cum.where("2 * _h >= _n").withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
-
-
-def judge(docs: DataFrame, *, keep: list[str] | None = None, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_group: int = 50, steps: int = 3, cutoff: float = 60.0) -> DataFrame:
+    return cum.where("2 * _h >= _n").withColumn("_r", F.row_number().over(run)).where("_r = 1").drop("_r")
+
+
+def least_determinant(rows: DataFrame, min_group: int) -> DataFrame:
+    """(_group, _start, _logdet, mean and factor): the half of the least determinant that any start leads to."""
+    step = lambda est: _with_factor(_half(_with_distance(_attach(rows, est.drop("_logdet")))))
+    est = materialize(_starts(rows, min_group), "quality-start")
+    for _ in range(2):
+        est = materialize(step(est), "quality-step")
+    best = est.groupBy("_group").agg(F.min(F.struct("_logdet", "_start", *_shape())).alias("b")).select("_group", "b._start", "b._logdet", *[f"b.{c}" for c in _shape()])
+    best = materialize(best, "quality-best")
+    while True:
+        both = best.withColumn("_new", F.lit(False)).union(step(best).withColumn("_new", F.lit(True)))
+        # the older of equals stays
+        pick = both.groupBy("_group").agg(F.min(F.struct(F.round("_logdet", 6).alias("d"), "_new", "_start", "_logdet", *_shape())).alias("b"))
+        best = materialize(pick.select("_group", "b._start", "b._logdet", *[f"b.{c}" for c in _shape()], "b._new"), "quality-step")
+        if best.where("_new").isEmpty():
+            return best.drop("_new")
+        best = best.drop("_new")
+
+
+def judge(docs: DataFrame, *, keep: list[str] | None = None, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_group: int = 200, quantile: float = 0.9999) -> DataFrame:
     """docs (the columns of ``keep``, or all), as a struct column ``doc``, with the counts, base_failed, kept and distance2.
 
     distance2 is null for base-failed rows and where no estimate exists.
@@ -198,19 +268,22 @@ def judge(docs: DataFrame, *, keep: list[str] | None = None, text_col: str = "te
     counted = with_counts(packed, "_text").drop("_text").withColumn("base_failed", base_failed()).withColumns(_features())
     table = materialize(counted, "quality-counts")
     table = _with_group(table, "_lang", "_source", min_group)
-    usable = [f"_x_{f}" for f, _ in FEATURES]
-    rows = table.where("not base_failed").select("_group", *usable)
-    start = broadcast_if_small(materialize(_start(rows, min_group), "quality-start"))
-    est = materialize(_with_factor(_concentrate(rows.join(start, "_group").withColumn("_d2", _start_distance()))), "quality-step")
-    apart = lambda e: rows.join(broadcast_if_small(e.drop("_bin", "_n", "_h")), "_group")
-    for _ in range(steps):
-        est = materialize(_with_factor(_concentrate(_with_distance(apart(est)))), "quality-step")
-    # distances of the last estimate, scaled so that the median is that of a normal vector
-    last = _concentrate(_with_distance(apart(est)))
-    scale = last.select("_group", F.greatest(F.lit(1.0), F.expm1((F.col("_bin") + 1) / BINS) / _CHI2_MEDIAN).alias("_scale"))
-    final = materialize(est.drop("_bin", "_n", "_h").join(scale, "_group"), "quality-estimates")
+    rows = materialize(table.where("not base_failed").select("_group", *[f"_x_{f}" for f, _ in FEATURES]), "quality-vectors")
+    degrees = len(FEATURES)
+    raw = least_determinant(rows, min_group)
+    # distances are scaled so that their median is that of a normal vector; then all that is near counts
+    middle = _half(_with_distance(_attach(rows, raw.drop("_logdet"))))
+    scale = middle.select("_group", F.greatest(F.lit(1.0), F.expm1((F.col("_bin") + 0.5) / BINS) / chi2_point(0.5, degrees)).alias("_scale"))
+    scaled = materialize(raw.drop("_logdet").join(scale, "_group"), "quality-raw")
+    near_point = chi2_point(0.975, degrees)
+    near = _with_distance(_attach(rows, scaled)).where(F.col("_d2") <= near_point * F.col("_scale"))
+    sums = near.groupBy("_group", "_start").agg(F.count("*").alias("_h"), *[v.alias(k) for k, v in _sums().items()])
+    final = materialize(_with_factor(sums).drop("_start", "_logdet"), "quality-estimates")
+    # the covariance of vectors within that point is less than that of all by this factor
+    factor = chi2_share(near_point, degrees + 2) / 0.975
     judged = _with_distance(table.join(broadcast_if_small(final), "_group", "left"))
-    distance = F.when(~F.col("base_failed"), F.col("_d2") / F.col("_scale"))
+    distance = F.when(~F.col("base_failed"), F.col("_d2") * factor)
+    cutoff = chi2_point(quantile, degrees)
     return judged.select(
         "doc", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         (~F.col("base_failed") & F.coalesce(distance <= cutoff, F.lit(True))).alias("kept"),

@@ -130,32 +130,31 @@ def test_suffix_dedup_equals_brute_force(spark):
     assert suffix_dedup.repeat_report(docs(spark, [])).count() == 0 and suffix_dedup.repeat_report(docs(spark)).count() == len(EDGES)
 
 
-def robust_distances(rows, min_group, steps):
-    """The estimator over (group, vector) restated with numpy, sequentially."""
-    out = np.full(len(rows), np.nan)
-    groups = np.array(["/".join(g) for g, _ in rows])
-    x = np.array([v for _, v in rows], float)
-    floors = np.array([f for _, f in quality_rules.FEATURES]) * quality_rules.UNIT
-    for g in set(groups):
-        own = np.flatnonzero(groups == g)
-        if len(own) < min_group:
-            continue
-        z = x[own]
-        middle = lambda a: np.sort(a, axis=0)[(len(a) + 1) // 2 - 1]
-        mid = middle(z)
-        d = (((z - mid) / np.maximum(1.4826 * middle(np.abs(z - mid)), floors)) ** 2).sum(1)
-        for step in range(steps + 2):
-            bins = np.floor(np.log1p(d) * quality_rules.BINS)
-            at = np.sort(bins)[(len(own) + 1) // 2 - 1]
-            if step == steps + 1:
-                break
-            half = z[bins <= at]
-            mu = half.mean(0)
-            cov = half.T @ half / len(half) - np.outer(mu, mu)
-            cov[np.diag_indices(len(mu))] = np.maximum(np.diag(cov), 0) + floors**2
-            d = np.einsum("ij,jk,ik->i", z - mu, np.linalg.inv(cov), z - mu)
-        out[own] = d / max(1.0, np.expm1((at + 1) / quality_rules.BINS) / 4.351)
-    return out
+def test_least_determinant_against_all_subsets(spark, monkeypatch):
+    """Groups of 12 vectors, 3 of them far out: no half of six rows has a much smaller determinant than the one found."""
+    from itertools import combinations
+
+    monkeypatch.setattr(quality_rules, "SUBSET_ROWS", 6)  # of groups this small
+    monkeypatch.setattr(quality_rules, "SUBSETS", 30)
+
+    names, floors = [f for f, _ in quality_rules.FEATURES], np.array([f for _, f in quality_rules.FEATURES]) * quality_rules.UNIT
+    rng = np.random.default_rng(21)
+    mix = rng.normal(size=(5, 5)) * 40
+    groups = {f"g{i}": np.rint(np.vstack([rng.normal(size=(9, 5)) @ mix, 3000 + 40 * rng.normal(size=(3, 5))])).astype(int) for i in range(6)}
+    rows = [(g, *map(int, v)) for g, x in groups.items() for v in x] + [("few", 1, 2, 3, 4, 5)]
+    schema = "_group string, " + ", ".join(f"_x_{n} bigint" for n in names)
+    found = {r["_group"]: r for r in quality_rules.least_determinant(spark.createDataFrame(rows, schema), 10).collect()}
+    assert sorted(found) == sorted(groups)
+    gaps = []
+    for g, x in groups.items():
+        least = min(np.linalg.slogdet(np.cov(x[list(c)].T, bias=True) + np.diag(floors**2))[1] for c in combinations(range(12), 6))
+        gaps.append(found[g]["_logdet"] - least)
+        assert abs(found[g]["_mu_0"] - x[:9, 0].mean()) < 200
+    assert min(gaps) > -1e-6 and np.median(gaps) < 1e-6 and max(gaps) < 0.5, gaps
+
+
+def test_chi_squared_points():
+    assert math.isclose(quality_rules.chi2_point(0.999, 5), 20.515, abs_tol=1e-3) and math.isclose(quality_rules.chi2_point(0.5, 5), 4.3515, abs_tol=1e-3)
 
 
 def test_quality_rules_equal_brute_force(spark):
@@ -171,8 +170,8 @@ def test_quality_rules_equal_brute_force(spark):
         rows.append((i, "\n".join(" ".join(w[k : k + 9]) for k in range(0, len(w), 9)), "en" if i % 3 else "fr", f"s{i % 2}"))
     rows += [(900, None, "en", "s0"), (901, "", None, None), (902, "a b a b a b", "en", "s9")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
-    got = {r.doc.doc_id: r for r in quality_rules.judge(df, min_group=20).collect()}
-    vectors, order = [], []
+    got = {r.doc.doc_id: r for r in quality_rules.judge(df, min_group=60).collect()}
+    order, cutoff = [], quality_rules.chi2_point(0.9999, 5)
     for i, text, lang, source in rows:
         w = split(text)
         lines = [x for x in (text or "").split("\n") if split(x)]
@@ -183,17 +182,11 @@ def test_quality_rules_equal_brute_force(spark):
         failed = len(w) < 50 or 100 * len(covered) > 50 * len(w)
         r = got[i]
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (len(w), chars, signs, dup, len(covered), failed)
+        assert (r.distance2 is None) == failed and r.kept == (not failed and r.distance2 <= cutoff)
         if not failed:
-            n = len(w)
-            v = [math.log(n), chars / n, math.log1p(signs / n), dup / max(len(lines), 1), len(covered) / n]
-            vectors.append(((lang, source), [math.floor(min(q, 40) * 256 + 0.5) for q in v]))
-            order.append(i)
-    distances = robust_distances(vectors, 20, 3)
-    for i, d in zip(order, distances):
-        assert (got[i].distance2 is None) == math.isnan(d)
-        assert math.isnan(d) or math.isclose(got[i].distance2, d, rel_tol=1e-6)
-        assert got[i].kept == (math.isnan(d) or d <= 60)
-    assert {i for i in order if not got[i].kept} == {i for i in order if i % 12 == 0}
+            order.append((i % 12 == 0, r.kept))
+    # estimates from 60 rows, under the default's 200, take some of the tail of the lengths for outliers
+    assert not any(kept for odd, kept in order if odd) and sum(kept for odd, kept in order if not odd) > 0.9 * sum(not odd for odd, _ in order)
 
 
 def test_quality_rules_cases(spark):
