@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import argparse
+import json
+import os
+import shlex
+import subprocess
 import sys
 
 from pyspark.sql import SparkSession
 
 from .engine import Engine
+from .operators.control import Controller
 
 COMMANDS = {
     "put": ["key", "value"], "get": ["key"], "delete": ["key"], "scan": ["start", "end", "field?", "op?", "operand?"],
     "put-versioned": ["key", "payload", "source?"], "get-as-of": ["key", "nanos"], "list-versions": ["key"],
     "fingerprint": ["prefix?", "nanos?"], "list-writes": ["prefix?", "from?", "to?", "source?"], "export-writes": ["path", "prefix?"],
-    "import-registry": ["file"],
+    "import-registry": ["file"], "compact": [], "apply": ["spec-file"], "tick": [], "recover": [], "help": [], "shell": [],
 }
 
 
@@ -49,19 +54,58 @@ def run(engine: Engine, command: str, args: list[str]) -> int:
     elif command == "export-writes":
         engine.export_writes(a[0], prefix=a[1])
     elif command == "import-registry":
-        from .operators.ledger import latest
-        from .sources.tables import import_registry, import_summary
-
-        classified, writes = import_registry(engine.spark.read.text(a[0]), latest(engine.ledger))
-        print(import_summary(classified).first().asDict())
         from pyspark.sql import functions as F
 
-        from .operators.ledger import append
+        from .operators.ledger import append, latest
+        from .sources.tables import import_registry, import_summary, numbered_lines
 
-        append(writes.withColumns({"schema_ver": F.lit(1), "write_nanos": F.unix_micros(F.current_timestamp()) * 1000, "arrival": F.lit(0)}), f"{engine.folder}/ledger")
+        classified, writes = import_registry(numbered_lines(engine.spark, a[0]), latest(engine.ledger))
+        print(import_summary(classified).first().asDict())
+        for r in classified.where("outcome = 'error'").orderBy("line").toLocalIterator():
+            print(f"line {r.line}: {r.reason}")
+        append(writes.withColumns({"schema_ver": F.lit(1), "write_nanos": F.unix_micros(F.current_timestamp()) * 1000}), f"{engine.folder}/ledger")
+    elif command == "compact":
+        engine.compact()
+    elif command == "apply":
+        with open(a[0], encoding="utf-8") as f:
+            print(engine.apply_spec(json.load(f)))
+    elif command in ("tick", "recover"):
+        control = Controller(engine, execute)
+        for name, what in control.tick().items() if command == "tick" else ((n, "recovered") for n in control.recover()):
+            print(f"{name}\t{what}")
+    elif command == "help":
+        for name, wanted in COMMANDS.items():
+            print(" ".join([name, *wanted]))
+    elif command == "shell":
+        shell(engine)
     return 0
 
 
+def execute(spec: dict) -> tuple[int, str]:
+    """Run a spec's command as a child process: exit code and the end of its error output."""
+    env = {**os.environ, **(spec.get("env") or {})}
+    done = subprocess.run(spec["command"], cwd=spec.get("dir") or None, env=env, capture_output=True, text=True)
+    return done.returncode, done.stderr[-1000:].strip()
+
+
+def shell(engine: Engine, lines=None) -> None:
+    """Commands from lines (standard input by default) until 'exit'; errors are said and the loop goes on."""
+    for line in lines if lines is not None else sys.stdin:
+        words = shlex.split(line)
+        if not words:
+            continue
+        if words[0] in ("exit", "quit"):
+            return
+        wanted = COMMANDS.get(words[0])
+        if wanted is None or words[0] == "shell" or not sum(not w.endswith("?") for w in wanted) <= len(words) - 1 <= len(wanted):
+            print(f"cannot run {line.strip()!r}; try help")
+            continue
+        try:
+            run(engine, words[0], words[1:])
+        except Exception as error:  # the session goes on
+            print(f"error: {error}")
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tempolith")
     parser.add_argument("--data", required=True, help="folder of the ledger and the change log")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 import uuid
 from collections.abc import Iterable
@@ -10,8 +11,9 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import keys
-from .operators import kv, ledger, plane
-from .schema import CODES, LEDGER_SCHEMA
+from .operators import jobs, kv, ledger, plane
+from .schema import CODES, EDGE_SCHEMA, LEDGER_SCHEMA
+from .sources import tables
 
 _CHANGES = "key string, value string, op string, arrival bigint, tag string"
 
@@ -20,6 +22,10 @@ class RoleError(PermissionError):
     code = CODES["role"]
 
 
+class SuspectDuplicateError(ValueError):
+    """An admitted factor is too similar."""
+
+
 class Engine:
     """Reads are DataFrames; writes append.  One writer at a time: seqs are allocated per key."""
 
@@ -124,6 +130,66 @@ class Engine:
             self.put_versioned(key, checked.payload.encode(), f"agent:{checked.submitted_by}")
         return checked.fingerprint
 
+    # evidence and jobs
+
+    def put_if_changed(self, key: str, payload: bytes, source: str = "engine") -> bool:
+        """Whether a version was written: content equal to the latest one is not written again."""
+        last = self.get_as_of(key, 2**63 - 1)
+        if last is not None and bytes(last.payload) == payload:
+            return False
+        self.put_versioned(key, payload, source)
+        return True
+
+    def _names(self, prefix: str, as_of_nanos: int) -> DataFrame:
+        """(name, body) of the latest versions under a prefix as of an instant."""
+        seen = ledger.as_of(self.ledger.where(F.col("logical_key").startswith(prefix)), as_of_nanos)
+        return seen.select(F.expr(f"substring(logical_key, {len(prefix) + 1})").alias("name"), F.col("payload").cast("string").alias("body"))
+
+    def admit_factor(self, factor: str, experiment: str, as_of_nanos: int = 2**63 - 1) -> bool:
+        """Write the edge from a factor to its experiment, unless a suspect duplicate of the factor was admitted by then."""
+        if not factor or not experiment:
+            raise ValueError("factor and experiment must not be empty")
+        edges = self._names("factor:similarity:", as_of_nanos).select(F.from_json("body", EDGE_SCHEMA).alias("e")).select("e.*")
+        own = edges.where((F.col("factor_a") == factor) | (F.col("factor_b") == factor))
+        admitted = self._names(keys.EDGE_PREFIXES["factor"], as_of_nanos).select(F.from_json("body", "`from` string").alias("e")).select(F.col("e.from").alias("factor"))
+        rival = plane.suspect_duplicates(own, admitted).where(F.col("factor") == factor).first()
+        if rival:
+            raise SuspectDuplicateError(f"{factor} is a suspect duplicate of {rival.rival}")
+        return self.link("factor", factor, experiment)
+
+    def link(self, family: str, src: str, dst: str) -> bool:
+        """Write an edge of the evidence graph once: factor, experiment, strategy or paper to what follows it."""
+        return self.put_if_changed(f"{keys.EDGE_PREFIXES[family]}{src}:{dst}", json.dumps({"from": src, "to": dst}, separators=(",", ":"), ensure_ascii=False).encode())
+
+    def register(self, family: str, name: str, **fields: str) -> bool:
+        """Write an object of the evidence graph once: a strategy, paper or review with its fields."""
+        body = {"id" if family == "review" else "name": name, **fields}
+        return self.put_if_changed(keys.OBJECT_PREFIXES[family] + name, json.dumps(body, separators=(",", ":"), ensure_ascii=False).encode())
+
+    def apply_spec(self, spec: dict) -> int:
+        """Check a job spec and write it as a new version; returns its seq."""
+        row = self.spark.createDataFrame([tuple(spec.get(f) for f in jobs.SPEC_FIELDS)], jobs.SPEC_SCHEMA)
+        error = row.select(jobs.spec_error().alias("e")).first().e
+        if error:
+            raise ValueError(error)
+        payload = row.select(jobs.spec_json().alias("j")).first().j
+        return self.put_versioned(keys.JOB_PREFIXES["spec"] + spec["name"], payload.encode(), "engine")
+
+    # files
+
+    def compact(self) -> None:
+        """Rewrite the change log to the newest change of every key, tombstones kept, sorted by key."""
+        path = f"{self.folder}/changes"
+        new = f"{path}.{uuid.uuid4().hex}"
+        best = self.changes.groupBy("key").agg(F.max_by(F.struct("value", "op", "arrival", "tag"), "arrival").alias("c")).select("key", "c.*")
+        best.sort("key").write.option("parquet.bloom.filter.enabled#key", "true").parquet(new)
+        tables.replace_table(self.spark, path, new)
+
+    def drop_delivered(self, cursor: str) -> int:
+        """Delete the files of the change log that hold nothing at or after the delivered cursor."""
+        files = kv.reclaimable(tables.file_catalog(self.spark, f"{self.folder}/changes"), cursor)
+        return tables.delete_files(self.spark, [r.path for r in files.select("path").toLocalIterator()])
+
     def build_context(self, contracts: DataFrame, redlines: DataFrame, as_of_nanos: int) -> DataFrame:
         """The context bundle from experiments and strategies in the ledger as of an instant."""
         seen = ledger.as_of(self.ledger, as_of_nanos).select("logical_key", F.col("payload").cast("string").alias("p"))

@@ -43,3 +43,27 @@ def decode_records(raw) -> Column:
         return pd.DataFrame(rows, columns=["write_nanos", "source", "schema_ver", "persisted_hash", "payload"]).astype({"write_nanos": "Int64", "schema_ver": "Int32"})
 
     return F.pandas_udf(decode, "write_nanos long, source string, schema_ver int, persisted_hash string, payload binary")(raw)
+
+
+def encode_pointer(seq: int, payload_hash: str) -> bytes:
+    """A current pointer: seq, length of the hash, hash; numbers are little-endian."""
+    h = payload_hash.encode()
+    return struct.pack("<QH", seq, len(h)) + h
+
+
+def decode_pointer(raw: bytes | None) -> tuple[int, str] | None:
+    """(seq, payload_hash); None if cut off."""
+    if raw is None or len(raw) < 10:
+        return None
+    seq, n = struct.unpack_from("<QH", raw)
+    return (seq, raw[10 : 10 + n].decode(errors="replace")) if len(raw) >= 10 + n else None
+
+
+def decode_pointers(raw) -> Column:
+    """decode_pointer over a column; fields are null where a pointer is cut off."""
+
+    def decode(values: pd.Series) -> pd.DataFrame:
+        rows = [decode_pointer(None if x is None else bytes(x)) or (None, None) for x in values]
+        return pd.DataFrame(rows, columns=["seq", "payload_hash"]).astype({"seq": "Int64"})
+
+    return F.pandas_udf(decode, "seq long, payload_hash string")(raw)

@@ -16,8 +16,11 @@ MAX_CHANGE = 0.21
 
 
 def quote_code(value: Column) -> Column:
-    """0 for a valid quote, else the code of the first rule it breaks."""
-    q = F.from_json(value, QUOTE_SCHEMA)
+    """0 for a valid quote, else the code of the first rule it breaks; the value is parsed once."""
+    return F.get(F.transform(F.array(F.from_json(value, QUOTE_SCHEMA)), _code_of), F.lit(0))
+
+
+def _code_of(q: Column) -> Column:
     missing = F.lit(False) | q.isNull()
     for f in ("code", "date", "open", "high", "low", "close", "volume"):
         missing = missing | q[f].isNull()
@@ -26,12 +29,11 @@ def quote_code(value: Column) -> Column:
     bad_price = (q["open"] <= 0) | (high <= 0) | (low <= 0) | (q["close"] <= 0) | (q["volume"] < 0)
     bad_order = (low > q["open"]) | (q["open"] > high) | (low > q["close"]) | (q["close"] > high)
     change = F.when(q["prev_close"].isNotNull() & (q["prev_close"] != 0), F.abs((q["close"] - q["prev_close"]) / q["prev_close"]))
-    # a hair above the bound is rounding of the quotient, not a larger move
     return (
         F.when(F.coalesce(missing, F.lit(True)), CODES["missing_field"])
         .when(bad_price, CODES["bad_price"])
         .when(bad_order, CODES["ohlc"])
-        .when(F.coalesce(change > MAX_CHANGE + 1e-9, F.lit(False)), CODES["pct_change"])
+        .when(F.coalesce(change > MAX_CHANGE, F.lit(False)), CODES["pct_change"])
         .otherwise(0)
     )
 
@@ -70,14 +72,18 @@ def with_declared_contract(records: DataFrame, contracts: DataFrame) -> DataFram
     return records.join(F.broadcast(c), records.type_id == c.contract_type, "left")  # a catalog of a handful of rows
 
 
-def monotonic(records: DataFrame, arrival: str = "arrival") -> DataFrame:
+def monotonic(records: DataFrame, arrival: str = "arrival", bound: Column | None = None) -> DataFrame:
     """records with ``backward``: whether the key's time is no greater than an earlier one of its device.
 
-    Rejected rows never exceed the running maximum, so it equals that of the accepted rows.
+    Rejected rows never exceed the running maximum, so it equals that of the accepted rows.  Rows
+    that ``bound`` (all by default) leaves out, and keys without a time, neither are backward nor
+    move the maximum; they are spread over the window's tasks.
     """
     device, ts = keys.device_and_ts("key")
     before = Window.partitionBy("_device").orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
-    r = records.withColumns({"_device": device, "_ts": ts})
+    held = ts.isNotNull() & (F.lit(True) if bound is None else F.coalesce(bound, F.lit(False)))
+    free = F.concat(F.lit("\x01"), F.xxhash64("key", arrival).cast("string"))
+    r = records.withColumns({"_device": F.when(held, device).otherwise(free), "_ts": F.when(held, ts)})
     late = F.col("_ts").isNotNull() & (F.col("_ts") <= F.max("_ts").over(before))
     return r.withColumn("backward", F.coalesce(late, F.lit(False))).drop("_device", "_ts")
 
@@ -92,7 +98,7 @@ def clean(
     versioned: bool = False,
     declared: bool = False,
 ) -> DataFrame:
-    """records (arrival, key, value) with result ('accept' or 'drop'), code, reason and the value to store.
+    """records (arrival, key, value, ...) with result ('accept' or 'drop'), code, reason and the value to store.
 
     Monotonicity binds only keys without a contract; versioned writes and declared types skip it.
     declared: the type_id column, where it is not 0, names the contract.
@@ -104,23 +110,24 @@ def clean(
         named = F.coalesce(F.col("type_id") != 0, F.lit(False))
         unknown = named & F.col("contract_type").isNull()
         r = by_type.withColumn("contract", F.when(named, F.col("contract")).otherwise(F.col("_by_key")))
-    r = r.withColumn("backward", F.lit(False)) if versioned or not drop_backward else monotonic(r)
+    exempt = F.col("contract").isNotNull()
+    if declared:
+        exempt = exempt | F.coalesce(F.col("type_id") != 0, F.lit(False))
+    large = F.coalesce(F.lit(max_bytes > 0) & (F.octet_length("value") > max_bytes), F.lit(False))
+    r = r.withColumn("backward", F.lit(False)) if versioned or not drop_backward else monotonic(r, bound=~exempt & ~large)
     code = F.lit(0)
     for name, validator in VALIDATORS.items():
         code = F.when(F.col("contract") == name, validator(F.col("value"))).otherwise(code)
-    exempt = F.col("contract").isNotNull()
-    if declared:
-        exempt = exempt | (F.col("type_id") != 0)
     reason = (
-        F.when(F.lit(max_bytes > 0) & (F.octet_length("value") > max_bytes), "oversized_value")
+        F.when(large, "oversized_value")
         .when(unknown, "unknown_declared_type")
-        .when(F.col("backward") & ~exempt, "non_monotonic_timestamp")
+        .when(F.col("backward"), "non_monotonic_timestamp")
         .when(F.col("_code") != 0, "schema")
     )
     r = r.withColumn("_code", code).withColumn("reason", reason)
     stored = redact(F.col("value"), list(redact_fields)) if redact_fields else F.col("value")
     return r.select(
-        *records.columns[: records.columns.index("value")],
+        *[F.col(f"`{c}`") for c in records.columns if c != "value"],
         F.when(F.col("reason").isNull(), "accept").otherwise("drop").alias("result"),
         F.when(F.col("reason") == "schema", F.col("_code")).otherwise(0).alias("code"),
         "reason",

@@ -13,6 +13,11 @@ PHASE_EDGES = (
     ("paper", "retired"), ("live", "retired"),
 )
 TERMINAL = ("succeeded", "alerting")
+SPEC_FIELDS = {
+    "name": "string", "command": "array<string>", "dir": "string", "env": "map<string,string>", "depends_on": "array<string>", "schedule_interval_seconds": "bigint",
+    "max_retries": "int", "retry_backoff_seconds": "bigint", "schedule": "string",
+}
+SPEC_SCHEMA = ", ".join(f"{k} {v}" for k, v in SPEC_FIELDS.items())
 
 
 def spec_error() -> Column:
@@ -30,15 +35,20 @@ def spec_error() -> Column:
     )
 
 
-def spec_fingerprint() -> Column:
-    """SHA-256 of the spec's JSON in fixed order, dependencies sorted."""
+def spec_json() -> Column:
+    """The spec's JSON in fixed order, dependencies sorted."""
     body = F.struct(
         "name", "command", F.coalesce("dir", F.lit("")).alias("dir"), F.col("env"), F.array_sort(F.coalesce("depends_on", F.array().cast("array<string>"))).alias("depends_on"),
         F.col("schedule_interval_seconds").cast("long").alias("schedule_interval_seconds"), F.col("max_retries").cast("int").alias("max_retries"),
         F.col("retry_backoff_seconds").cast("long").alias("retry_backoff_seconds"),
         F.when(F.coalesce("schedule", F.lit("")) != "", F.col("schedule")).alias("schedule"),
     )
-    return F.sha2(F.to_json(body), 256)
+    return F.to_json(body)
+
+
+def spec_fingerprint() -> Column:
+    """SHA-256 of spec_json."""
+    return F.sha2(spec_json(), 256)
 
 
 def unmet_dependencies(specs: DataFrame, statuses: DataFrame) -> DataFrame:

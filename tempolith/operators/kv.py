@@ -39,11 +39,19 @@ def scan_range(kv: DataFrame, start: str = "", end: str = "") -> DataFrame:
     return kv
 
 
-def scan(kv: DataFrame, start: str = "", end: str = "", field: str = "", op: str = "", operand: str = "", limit: int = 10_000, raw_text: bool = False) -> DataFrame:
-    """Business scan: a range without internal keys, a predicate on the JSON value, in key order, capped; limit 0 has no cap."""
+def scan(kv: DataFrame, start: str = "", end: str = "", field: str = "", op: str = "", operand: str = "", limit: int = 10_000, raw_text: bool = False, ordered: bool = True) -> DataFrame:
+    """Business scan: a range without internal keys, a predicate on the JSON value, in key order, capped; limit 0 has no cap.
+
+    Without a cap, ``ordered=False`` saves the sort.
+    """
     found = scan_range(kv, start, end).where(~keys.is_internal("key"))
-    found = found.where(field_predicate(F.col("value"), field, op, operand, raw_text=raw_text)).orderBy("key")
-    return found.limit(limit) if limit > 0 else found
+    found = found.where(field_predicate(F.col("value"), field, op, operand, raw_text=raw_text))
+    return found.orderBy("key").limit(limit) if limit > 0 else found.orderBy("key") if ordered else found
+
+
+def get(kv: DataFrame, key: str) -> DataFrame:
+    """The (key, value) of one key, none if it is absent."""
+    return kv.where(F.col("key") == key)
 
 
 def scan_prefix(kv: DataFrame, prefix: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from ..functions import keys
 from ..functions.scalars import hash_ok, payload_hash
 from ..schema import LEDGER_SCHEMA
 
+#: Kinds of one append that a filter on partitions lists.
+MOST_KINDS = 1_000
 _BODY = ["seq", "write_nanos", "source", "schema_ver", "persisted_hash", "payload"]
 
 
@@ -108,7 +112,9 @@ def assign_versions(incoming: DataFrame, ledger: DataFrame | None, order: str =
     number = F.row_number().over(Window.partitionBy("logical_key").orderBy(order))
     rows = incoming.withColumn("_n", number.cast("long"))
     if ledger is not None:
-        top = ledger.groupBy("logical_key").agg(F.max("seq").alias("_top"))
+        # only the incoming keys' versions reach the aggregation
+        touched = ledger.select("logical_key", "seq").join(incoming.select("logical_key").distinct(), "logical_key", "left_semi")
+        top = touched.groupBy("logical_key").agg(F.max("seq").alias("_top"))
         rows = rows.join(top, "logical_key", "left")
     else:
         rows = rows.withColumn("_top", F.lit(0).cast("long"))
@@ -128,6 +134,10 @@ def append(incoming: DataFrame, path: str, order: str = "arrival") -> DataFrame:
         if "PATH_NOT_FOUND" not in str(error):
             raise
         before = None
+    if before is not None and "kind" in before.columns:
+        kinds = [r.kind for r in incoming.select(keys.kind_of("logical_key").alias("kind")).distinct().limit(MOST_KINDS + 1).collect()]
+        if len(kinds) <= MOST_KINDS:  # a filter on partitions
+            before = before.where(F.col("kind").isin(kinds))
     rows = assign_versions(incoming, before, order)
     rows.withColumn("kind", keys.kind_of("logical_key")).sortWithinPartitions("logical_key", "seq").write.mode("append").partitionBy("kind").parquet(path)
     return rows
@@ -160,20 +170,26 @@ def _entry(key: Column, seq: Column, payload: Column) -> Column:
 def fingerprint(entries: DataFrame) -> DataFrame:
     """One row: key_count and the SHA-256 over all entries in order.
 
-    SHA-256 is sequential, so one task folds the entries; use fingerprint_streamed or
-    fingerprint_tree where the state is larger than a task's memory.
+    SHA-256 is sequential, so one task sorts the entries, spilling, and streams them into the
+    digest; fingerprint_tree is the distributed one.
     """
-    listed = F.sort_array(F.collect_list(F.struct("logical_key", "seq", "payload")))
-    return entries.agg(F.count("*").alias("key_count"), listed.alias("_all")).select(
-        "key_count",
-        F.sha2(F.aggregate("_all", F.lit("").cast("binary"), lambda acc, x: F.concat(acc, _entry(x["logical_key"], x["seq"], x["payload"]))), 256).alias("fingerprint"),
-    )
+
+    def digest(batches):
+        seen, count = hashlib.sha256(), 0
+        for batch in batches:
+            for entry in batch.column(0).to_pylist():
+                seen.update(entry)
+            count += batch.num_rows
+        yield pa.RecordBatch.from_pydict({"n": [count], "d": [seen.hexdigest()]})
+
+    rows = entries.select("logical_key", "seq", _entry(F.col("logical_key"), F.col("seq"), F.col("payload")).alias("e"))
+    folded = rows.repartition(1).sortWithinPartitions("logical_key", "seq").select("e").mapInArrow(digest, "n long, d string")
+    empty = hashlib.sha256().hexdigest()
+    return folded.agg(F.coalesce(F.max("n"), F.lit(0)).alias("key_count"), F.coalesce(F.max("d"), F.lit(empty)).alias("fingerprint"))
 
 
 def fingerprint_streamed(entries: DataFrame) -> tuple[int, str]:
     """The same digest in constant driver memory, over a distributed sort."""
-    import hashlib
-
     digest, count = hashlib.sha256(), 0
     rows = entries.orderBy("logical_key", "seq").select(_entry(F.col("logical_key"), F.col("seq"), F.col("payload")).alias("e"))
     for row in rows.toLocalIterator(prefetchPartitions=True):
@@ -182,10 +198,10 @@ def fingerprint_streamed(entries: DataFrame) -> tuple[int, str]:
     return count, digest.hexdigest()
 
 
-def fingerprint_tree(entries: DataFrame, buckets: int = 4096) -> DataFrame:
-    """Another digest, order-free and distributed: hashes of entries, of buckets, and of all."""
+def fingerprint_tree(entries: DataFrame, digits: int = 3) -> DataFrame:
+    """Another digest, order-free and distributed: hashes of entries, of buckets by their first hex digits, and of all."""
     leaves = entries.select(F.sha2(_entry(F.col("logical_key"), F.col("seq"), F.col("payload")), 256).alias("leaf"))
-    level = leaves.groupBy(F.pmod(F.xxhash64("leaf"), F.lit(buckets)).alias("b")).agg(F.sha2(F.concat_ws("", F.sort_array(F.collect_list("leaf"))), 256).alias("node"), F.count("*").alias("n"))
+    level = leaves.groupBy(F.substring("leaf", 1, digits).alias("b")).agg(F.sha2(F.concat_ws("", F.sort_array(F.collect_list("leaf"))), 256).alias("node"), F.count("*").alias("n"))
     return level.agg(F.sum("n").alias("key_count"), F.sha2(F.concat_ws("", F.sort_array(F.collect_list(F.struct("b", "node")))["node"]), 256).alias("tree_fingerprint"))
 
 
@@ -208,10 +224,7 @@ def replay(ledger: DataFrame, pointers: DataFrame, prefix: str = "", as_of_nanos
 
 
 def export_lines(ledger: DataFrame, **filters) -> DataFrame:
-    """(n, line): the envelopes as JSON lines in order, and a manifest line with count and digest.
-
-    Numbering runs over a distributed sort: offsets of the sorted partitions are added up.
-    """
+    """(logical_key, seq, line): the envelopes as JSON lines, and a manifest line, of null key and seq, with count and digest."""
     found = list_writes(ledger, **filters)
     body = F.struct(
         "logical_key", "seq", F.col("write_nanos").alias("write_ts"), "source", "schema_ver",

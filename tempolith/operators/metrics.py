@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -13,10 +13,15 @@ def latency_stats(samples: DataFrame, by: str, value: str) -> DataFrame:
 
 
 def ewma(samples: DataFrame, by: str, order: str, value: str, weight: float = 0.2) -> DataFrame:
-    """(by, ewma): exponentially weighted mean in order, folded per key from bounded per-key histories."""
-    listed = samples.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).cast("double").alias("v")))).alias("s"))
-    fold = F.aggregate(F.slice("s", F.lit(2), F.size("s")), F.get("s", F.lit(0))["v"], lambda acc, x: acc * (1 - weight) + x["v"] * weight)
-    return listed.select(by, fold.alias("ewma"))
+    """(by, ewma): exponentially weighted mean in order; a sample counts weight * (1 - weight) ** (samples after it).
+
+    The first sample starts the mean, so its share has no factor ``weight``.
+    """
+    after = F.row_number().over(Window.partitionBy(by).orderBy(F.desc(order))) - 1
+    first = F.lead(F.lit(False), 1, True).over(Window.partitionBy(by).orderBy(F.desc(order)))
+    share = F.pow(F.lit(1.0 - weight), F.col("_after").cast("double")) * F.when(F.col("_first"), 1.0).otherwise(weight)
+    rows = samples.select(by, F.col(value).cast("double").alias("_v"), after.alias("_after"), first.alias("_first"))
+    return rows.groupBy(by).agg(F.sum(F.col("_v") * share).alias("ewma"))
 
 
 def counted(df: DataFrame, name: str, **counters) -> tuple[DataFrame, Observation]:

@@ -98,12 +98,6 @@ def list_writes_page(spark, sf_dir):
 _FINGERPRINT_SQL = "sha256(string_agg(logical_key || '|' || cast(seq as varchar) || '|' || cast(strlen(payload) as varchar) || '|' || payload || chr(10), '' order by logical_key, seq))"
 
 
-@query(f"with {_LEDGER_SQL}, {_LATEST_SQL} select count(*) as key_count, {_FINGERPRINT_SQL} as fingerprint, false as bounded, 0 as n_mismatches from latest")
-def replay_fingerprint(spark, sf_dir):
-    book = _ledger(spark, sf_dir)
-    return ledger.replay(book, ledger.current_pointers(book)).select("key_count", "fingerprint", "bounded", F.size("mismatches").alias("n_mismatches"))
-
-
 @query(
     f"with {_LEDGER_SQL}, seen as (select logical_key, max(seq) as seq, arg_max(payload, seq) as payload from ledger where write_nanos <= {NOON} group by logical_key) "
     f"select (select count(distinct logical_key) from ledger) as key_count, {_FINGERPRINT_SQL} as fingerprint, true as bounded, 0 as n_mismatches from seen"
@@ -122,7 +116,11 @@ def fingerprint_leaves(spark, sf_dir):
     return e.agg(F.count("*").alias("n"), F.count_distinct("leaf").alias("leaves"))
 
 
-@query()
+@query(
+    f"""with {_LEDGER_SQL}, {_LATEST_SQL}, leaves as (select sha256(logical_key || '|' || cast(seq as varchar) || '|' || cast(strlen(payload) as varchar) || '|' || payload || chr(10)) as leaf from latest),
+ nodes as (select leaf[:3] as b, count(*) as n, sha256(string_agg(leaf, '' order by leaf)) as node from leaves group by b)
+ select cast(sum(n) as bigint) as key_count, sha256(string_agg(node, '' order by b)) as tree_fingerprint from nodes"""
+)
 def fingerprint_tree(spark, sf_dir):
     return ledger.fingerprint_tree(ledger.latest(_ledger(spark, sf_dir)))
 
@@ -151,6 +149,15 @@ def reconcile_mismatches(spark, sf_dir):
     return ledger.mismatches(_drifted(book), book)
 
 
+@query(
+    f"""with {_DRIFT_SQL} select (select count(*) from p) as key_count, {_FINGERPRINT_SQL} as fingerprint, false as bounded,
+  (select count(*)::int from p left join latest l on p.logical_key = l.logical_key where l.logical_key is null or p.seq is distinct from l.seq or p.payload_hash is distinct from sha256(l.payload)) as n_mismatches from latest"""
+)
+def replay_fingerprint(spark, sf_dir):
+    book = _ledger(spark, sf_dir)
+    return ledger.replay(book, _drifted(book)).select("key_count", "fingerprint", "bounded", F.size("mismatches").alias("n_mismatches"))
+
+
 @query(f"with {_DRIFT_SQL} select logical_key from p where logical_key not in (select logical_key from ledger)")
 def orphan_pointers(spark, sf_dir):
     book = _ledger(spark, sf_dir)
@@ -190,12 +197,12 @@ def export_jsonl(spark, sf_dir):
 
 # ---- as-of joins
 
-_PROBES_SQL = "probes as (select event_id as probe, 'evt:' || event_type || ':' || cast(user_id as varchar) as logical_key, epoch_us(ts) + 3600000000 as at_us from events where event_id % 5 = 0)"
+_PROBES_SQL = "probes as (select event_id as probe, 'evt:' || event_type || ':' || cast(user_id as varchar) as logical_key, epoch_us(ts) + 3600000000 as at_us from events)"
 
 
-def _probes(spark, sf_dir, which: str = "event_id % 5 = 0") -> DataFrame:
+def _probes(spark, sf_dir) -> DataFrame:
     micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
-    e = _t(spark, sf_dir, "events").where(which)  # the SQL has a fifth of the probes
+    e = _t(spark, sf_dir, "events")
     return e.select(F.col("event_id").alias("probe"), F.concat(F.lit("evt:"), "event_type", F.lit(":"), F.col("user_id").cast("string")).alias("logical_key"), (micros + 3_600_000_000).alias("at"))
 
 
@@ -204,11 +211,6 @@ def asof_join_probe(spark, sf_dir):
     return _text(asof.asof_join(_probes(spark, sf_dir), _ledger(spark, sf_dir))).withColumnRenamed("at", "at_us")
 
 
-@query()
-def asof_join_probe_all(spark, sf_dir):
-    return _text(asof.asof_join(_probes(spark, sf_dir, "true"), _ledger(spark, sf_dir))).withColumnRenamed("at", "at_us")
-
-
 @query(
     f"""with {_LEDGER_SQL}, m as (select distinct logical_key, write_nanos, max(seq) over (partition by logical_key order by write_nanos range unbounded preceding) as seq from ledger)
  select logical_key, write_nanos as from_nanos, lead(write_nanos) over (partition by logical_key order by write_nanos) as to_nanos, seq from m"""
@@ -229,7 +231,7 @@ _KV_SQL = "kv as (select 'evt:' || lpad(cast(event_id as varchar), 9, '0') as ke
 
 def _scan(op: str, test: str):
     def run(spark, sf_dir):
-        return kv.scan(_kv(spark, sf_dir), "evt:000000100", "", "k", op, "42", limit=0)
+        return kv.scan(_kv(spark, sf_dir), "evt:000000100", "", "k", op, "42", limit=0, ordered=False)
 
     return query(f"with {_KV_SQL} select key, value from kv where key >= 'evt:000000100' and {test}", name={">": "scan_predicate_gt", ">=": "scan_predicate_gte", "<": "scan_predicate_lt", "<=": "scan_predicate_lte", "==": "scan_predicate_eq", "!=": "scan_predicate_ne"}[op])(run)
 
@@ -252,7 +254,7 @@ def scan_prefix(spark, sf_dir):
 
 @query(f"with {_KV_SQL} select key, value from kv where key = 'evt:000000077'")
 def point_get(spark, sf_dir):
-    return _kv(spark, sf_dir).where(F.col("key") == "evt:000000077")
+    return kv.get(_kv(spark, sf_dir), "evt:000000077")
 
 
 @query(f"with {_KV_SQL} select key, value from kv order by key limit 100")
@@ -339,7 +341,7 @@ def monotonic_filter(spark, sf_dir):
 _QUOTES_SQL = """q as (select 'quote:' || cast(event_id as varchar) as key, event_id, round(value + 1, 2) as o, round(value + 1 + event_id % 5, 2) as h, round(value + 1 - event_id % 4, 2) as l,
    case when event_id % 17 = 0 then null else round(value + 1 + event_id % 3, 2) end as c, case when event_id % 23 = 0 then -1.0 else 100.0 end as v, case when event_id % 3 = 0 then null else round((value + 1) * (1 + event_id % 4 * 0.1), 2) end as p from events)"""
 _CODE_SQL = """case when c is null then 12289 when o <= 0 or h <= 0 or l <= 0 or c <= 0 or v < 0 then 12290 when l > o or o > h or l > c or c > h then 12291
-   when p is not null and p <> 0 and abs((c - p) / p) > 0.21 + 1e-9 then 12292 else 0 end"""
+   when p is not null and p <> 0 and abs((c - p) / p) > 0.21 then 12292 else 0 end"""
 
 
 def _quotes(spark, sf_dir) -> DataFrame:
@@ -385,14 +387,46 @@ def clean_pipeline(spark, sf_dir):
     return done.select("key", "result", "code", "reason")
 
 
-@query("""select event_id, '{"k":"[REDACTED]"}' as value from events""")
+_BODIES_SQL = """b as (select event_id, case event_id % 5 when 0 then '{"z":1.50,"gps":"x","a":{"n": [1, 2]}}' when 1 then '{"gps":1,"gps":2,"b":1e400}' when 2 then '{"c": 1.50}' when 3 then 'plain gps "gps"' else props end as body from events)"""
+
+
+def _bodies(spark, sf_dir) -> DataFrame:
+    """Values with raw numbers, repeated and nested members, without the fields, and no JSON at all."""
+    i = F.col("event_id") % 5
+    body = F.when(i == 0, '{"z":1.50,"gps":"x","a":{"n": [1, 2]}}').when(i == 1, '{"gps":1,"gps":2,"b":1e400}').when(i == 2, '{"c": 1.50}').when(i == 3, 'plain gps "gps"')
+    return _t(spark, sf_dir, "events").select("event_id", F.coalesce(body, "props").alias("body"))
+
+
+@query(
+    f"""with {_BODIES_SQL} select event_id, case event_id % 5 when 0 then '{{"a":{{"n":[1,2]}},"gps":"[REDACTED]","z":1.50}}' when 1 then '{{"b":1e400,"gps":"[REDACTED]"}}'
+   when 4 then '{{"k":"[REDACTED]"}}' else body end as value from b"""
+)
 def redact_fields(spark, sf_dir):
-    return _t(spark, sf_dir, "events").select("event_id", redact(F.col("props"), ["k", "gps"]).alias("value"))
+    return _bodies(spark, sf_dir).select("event_id", redact(F.col("body"), ["k", "gps"]).alias("value"))
+
+
+@query(
+    """with r as (select event_id as arrival, case when event_id % 3 = 0 then 'plain' || cast(event_id as varchar) else 'dev:' || cast(user_id as varchar) || ':' || cast(event_id - case when event_id % 6 = 1 then 500 else 0 end as varchar) end as key,
+   event_id - case when event_id % 6 = 1 then 500 else 0 end as t, user_id, event_id % 3 <> 0 as timed, event_id % 7 = 0 as large, event_id % 11 as extra from events),
+ m as (select *, coalesce(t <= max(case when timed and not large then t end) over (partition by user_id order by arrival rows between unbounded preceding and 1 preceding), false) as late from r)
+ select arrival, key, extra, case when large or (timed and late) then 'drop' else 'accept' end as result, case when large then 'oversized_value' when timed and late then 'non_monotonic_timestamp' end as reason,
+   case when large or (timed and late) then null else '{"gps":"[REDACTED]","n":1.50}' end as value from m"""
+)
+def clean_devices(spark, sf_dir):
+    """Backward, oversized and redacted records, keys without a time, and a column after the value."""
+    i = F.col("event_id")
+    t = i - F.when(i % 6 == 1, 500).otherwise(0)
+    key = F.when(i % 3 == 0, F.concat(F.lit("plain"), i.cast("string"))).otherwise(F.concat(F.lit("dev:"), F.col("user_id").cast("string"), F.lit(":"), t.cast("string")))
+    value = F.concat(F.lit('{"n":1.50,"gps":"'), F.when(i % 7 == 0, "x" * 200).otherwise("x"), F.lit('"}'))
+    records = _t(spark, sf_dir, "events").select(i.alias("arrival"), key.alias("key"), value.alias("value"), (i % 11).alias("extra"))
+    return clean.clean(records, _contracts(spark), max_bytes=100).select("arrival", "key", "extra", "result", "reason", "value")
 
 
 @query("select event_id from events where strlen(props) > 8")
 def oversize_drop(spark, sf_dir):
-    return _t(spark, sf_dir, "events").where(F.octet_length("props") > 8).select("event_id")
+    records = _t(spark, sf_dir, "events").select(F.col("event_id").alias("arrival"), F.format_string("evt-%09d", "event_id").alias("key"), F.col("props").alias("value"))
+    done = clean.clean(records, _contracts(spark), max_bytes=8)
+    return done.where("reason = 'oversized_value'").select(F.col("arrival").alias("event_id"))
 
 
 def _results(spark, sf_dir) -> DataFrame:
@@ -486,14 +520,20 @@ def latency_stats(spark, sf_dir):
     return s.select("event_type", "n", F.round("mean", 6).alias("mean"), "max", *[F.round(p, 6).alias(p) for p in ("p50", "p95", "p99")])
 
 
-@query()
+@query(
+    """with l as (select event_type, list(cast(value as double) order by event_id) as v from events group by event_type)
+ select event_type, round(list_reduce(v, lambda acc, x: acc * 0.8 + x * 0.2), 6) as ewma from l"""
+)
 def ewma_latency(spark, sf_dir):
-    return metrics.ewma(_t(spark, sf_dir, "events"), "event_type", "event_id", "value")
+    return metrics.ewma(_t(spark, sf_dir, "events"), "event_type", "event_id", "value").select("event_type", F.round("ewma", 6).alias("ewma"))
 
 
 @query("select count(*) as writes, count(*) filter (where event_type = 'error') as rejected, sum(strlen(props))::bigint as bytes from events")
 def process_counters(spark, sf_dir):
-    return _t(spark, sf_dir, "events").agg(F.count("*").alias("writes"), F.count_if(F.col("event_type") == "error").alias("rejected"), F.sum(F.octet_length("props")).alias("bytes"))
+    counters = {"writes": F.count("*"), "rejected": F.count_if(F.col("event_type") == "error"), "bytes": F.sum(F.octet_length("props"))}
+    watched, seen = metrics.counted(_t(spark, sf_dir, "events"), "process", **counters)
+    watched.write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([tuple(seen.get[c] for c in counters)], "writes bigint, rejected bigint, bytes bigint")
 
 
 def _series(spark, sf_dir) -> DataFrame:
@@ -511,9 +551,9 @@ def factor_correlation(spark, sf_dir):
     return plane.correlations(_series(spark, sf_dir)).select("factor_a", "factor_b", F.round("correlation", 8).alias("correlation"), "suspect")
 
 
-def _edges(spark, sf_dir, which: str = "p_partkey < 200") -> DataFrame:
+def _edges(spark, sf_dir) -> DataFrame:
     """Similarity edges among parts: the cosine-like score is given by their sizes."""
-    p = _t(spark, sf_dir, "part").where(which)  # the SQL has the first parts alone
+    p = _t(spark, sf_dir, "part")
     a, b = p.select(F.col("p_name").alias("n"), F.col("p_partkey").alias("ka"), F.col("p_size").alias("sa")), p.select(F.col("p_partkey").alias("kb"), F.col("p_size").alias("sb"))
     j = a.join(b, F.col("sa") == F.col("sb")).where("ka < kb")
     text = lambda c: F.format_string("f%05d", c)
@@ -521,28 +561,22 @@ def _edges(spark, sf_dir, which: str = "p_partkey < 200") -> DataFrame:
 
 
 @query(
-    """with p as (select p_partkey, p_size from part where p_partkey < 200), e as (select 'f' || lpad(cast(a.p_partkey as varchar), 5, '0') as fa, 'f' || lpad(cast(b.p_partkey as varchar), 5, '0') as fb from p a join p b on a.p_size = b.p_size and a.p_partkey < b.p_partkey where (a.p_partkey + b.p_partkey) % 3 = 0),
+    """with p as (select p_partkey, p_size from part), e as (select 'f' || lpad(cast(a.p_partkey as varchar), 5, '0') as fa, 'f' || lpad(cast(b.p_partkey as varchar), 5, '0') as fb from p a join p b on a.p_size = b.p_size and a.p_partkey < b.p_partkey where (a.p_partkey + b.p_partkey) % 3 = 0),
  ok as (select 'f' || lpad(cast(p_partkey as varchar), 5, '0') as f from p where p_partkey % 4 = 0), s as (select fa as factor, fb as rival, fa || '|' || fb as key from e union all select fb, fa, fa || '|' || fb from e)
  select factor, arg_min(rival, key) as rival from s where rival in (select f from ok) and factor not in (select f from ok) group by factor"""
 )
 def suspect_duplicates(spark, sf_dir):
-    admitted = _t(spark, sf_dir, "part").where("p_partkey < 200 and p_partkey % 4 = 0").select(F.format_string("f%05d", "p_partkey").alias("factor"))
-    return plane.suspect_duplicates(_edges(spark, sf_dir), admitted)
-
-
-@query()
-def suspect_duplicates_all(spark, sf_dir):
     admitted = _t(spark, sf_dir, "part").where("p_partkey % 4 = 0").select(F.format_string("f%05d", "p_partkey").alias("factor"))
-    return plane.suspect_duplicates(_edges(spark, sf_dir, "true"), admitted)
+    return plane.suspect_duplicates(_edges(spark, sf_dir), admitted)
 
 
 # ---- evidence graph: customers, orders, parts and suppliers stand for its four hops
 
 
-def _graph(spark, sf_dir, which: str = "c_custkey < 60"):
+def _graph(spark, sf_dir):
     customer, orders, line, part, supplier = (_t(spark, sf_dir, t) for t in ("customer", "orders", "lineitem", "part", "supplier"))
     text = lambda c: F.col(c).cast("string")
-    factors = customer.where(which).select(text("c_custkey").alias("factor"))  # the SQL has the first customers alone
+    factors = customer.select(text("c_custkey").alias("factor"))
     edges = {
         "factor": orders.select(text("o_custkey").alias("src"), text("o_orderkey").alias("dst")),
         "experiment": line.where("l_quantity > 40").select(text("l_orderkey").alias("src"), text("l_partkey").alias("dst")),
@@ -558,7 +592,7 @@ def _graph(spark, sf_dir, which: str = "c_custkey < 60"):
     return factors, edges, objects
 
 
-_PATHS_SQL = """f as (select c_custkey as factor from customer where c_custkey < 60), e1 as (select distinct o_custkey as s, o_orderkey as d from orders), e2 as (select distinct l_orderkey as s, l_partkey as d from lineitem where l_quantity > 40),
+_PATHS_SQL = """f as (select c_custkey as factor from customer), e1 as (select distinct o_custkey as s, o_orderkey as d from orders), e2 as (select distinct l_orderkey as s, l_partkey as d from lineitem where l_quantity > 40),
  e3 as (select distinct l_partkey as s, l_suppkey as d from lineitem where l_quantity > 45), e4 as (select s_suppkey as s, s_nationkey as d from supplier),
  p as (select factor, e1.d as experiment, o.o_orderstatus as experiment_body, e2.d as strategy, t.p_type as strategy_body, e3.d as paper, s.s_name as paper_body, e4.d as review, n.n_name as review_body
   from f left join e1 on e1.s = factor left join orders o on o.o_orderkey = e1.d and o.o_orderstatus <> 'P' left join e2 on e2.s = e1.d left join part t on t.p_partkey = e2.d and t.p_size > 5
@@ -596,21 +630,6 @@ def evidence_degraded(spark, sf_dir):
     return plane.evidence_degraded(*_graph(spark, sf_dir))
 
 
-@query()
-def evidence_paths_all(spark, sf_dir):
-    return plane.evidence_paths(*_graph(spark, sf_dir, "true"))
-
-
-@query()
-def evidence_chain_all(spark, sf_dir):
-    return _chain_sizes(plane.evidence_chain(*_graph(spark, sf_dir, "true")))
-
-
-@query()
-def evidence_degraded_all(spark, sf_dir):
-    return plane.evidence_degraded(*_graph(spark, sf_dir, "true"))
-
-
 @query("select distinct cast(o_orderkey as varchar) as target from orders where o_custkey = 7")
 def evidence_targets(spark, sf_dir):
     o = _t(spark, sf_dir, "orders").select(keys.edge_key("factor", F.col("o_custkey").cast("string"), F.col("o_orderkey").cast("string")).alias("logical_key"))
@@ -684,34 +703,36 @@ def _job_events(spark, sf_dir) -> DataFrame:
 _JOB_EVENTS_SQL = """j as (select user_id as name, event_id % 3 as slot, event_id as seq, case event_type when 'purchase' then 'succeeded' when 'error' then 'alert' else 'failed' end as outcome, event_id % 4 as attempt, case when event_id % 2 = 0 then 'm' else '' end as message, event_id * 10 as write_nanos from events)"""
 
 
-@query(f"with {_JOB_EVENTS_SQL} select name, slot, max(seq) as seq, arg_max(outcome, seq) as outcome, cast(arg_max(attempt, seq) as int) as attempt from j where name % 5 = 0 group by name, slot")
+@query(f"with {_JOB_EVENTS_SQL} select name, slot, max(seq) as seq, arg_max(outcome, seq) as outcome, cast(arg_max(attempt, seq) as int) as attempt from j group by name, slot")
 def latest_matching_event(spark, sf_dir):
     e = _job_events(spark, sf_dir)
-    wanted = e.where("name % 5 = 0").select("name", "slot", "spec_fingerprint").distinct()
+    wanted = e.select("name", "slot", "spec_fingerprint").distinct()
     return jobs.latest_events(e, wanted).select("name", "slot", "seq", "outcome", "attempt")
 
 
-@query()
-def latest_matching_event_all(spark, sf_dir):
-    e = _job_events(spark, sf_dir)
-    return jobs.latest_events(e, e.select("name", "slot", "spec_fingerprint").distinct()).select("name", "slot", "seq", "outcome", "attempt")
-
-
 @query(f"with {_JOB_EVENTS_SQL} select seq, case outcome when 'succeeded' then 'succeeded' when 'alert' then 'alerting' else 'failed' end as phase, case when outcome = 'succeeded' and message = '' then 'ok' else message end as message, write_nanos as last_attempt_time from j")
 def event_to_status(spark, sf_dir):
     return _job_events(spark, sf_dir).withColumns(jobs.status_of_event()).select("seq", "phase", "message", "last_attempt_time")
 
 
 @query(
-    f"""with {_JOB_EVENTS_SQL}, s as (select name, slot, 'fp' as f, arg_max(case outcome when 'succeeded' then 'succeeded' when 'alert' then 'alerting' else 'failed' end, seq) as phase, arg_max(attempt, seq) as attempt, arg_max(write_nanos, seq) as t from j where slot = 1 group by name, slot)
- select c.c_custkey as name, case when s.name is not null and s.phase in ('succeeded', 'alerting') then 'done' when s.name is not null and 50000 < s.t + 5000000000 then 'backoff' else 'run' end as action,
-  cast(case when s.name is null then 1 when s.phase in ('succeeded', 'alerting') or 50000 < s.t + 5000000000 then null else s.attempt + 1 end as int) as attempt from customer c left join s on s.name = c.c_custkey"""
+    f"""with {_JOB_EVENTS_SQL}, s as (select name, arg_max(slot, seq) as slot, arg_max(case outcome when 'succeeded' then 'succeeded' when 'alert' then 'alerting' else case when attempt = 3 then 'running' else 'failed' end end, seq) as phase,
+   arg_max(attempt, seq) as attempt, arg_max(write_nanos, seq) as t from j group by name),
+ x as (select c.c_custkey as name, coalesce(s.slot = c.c_custkey % 3, false) as same, s.phase, s.attempt, s.t, c.c_custkey % 5 = 0 and not exists (select 1 from s d where d.name = 1 and d.phase = 'succeeded' and d.slot = c.c_custkey % 3) as unmet
+  from customer c left join s on s.name = c.c_custkey),
+ a as (select *, case when same and phase in ('succeeded', 'alerting') then 'done' when same and phase = 'failed' and 5000050000 < t + 5000000000 then 'backoff' when not same and unmet then 'wait' else 'run' end as action from x)
+ select name, action, cast(case when action <> 'run' then null when not same then 1 when phase = 'running' then attempt else attempt + 1 end as int) as attempt from a"""
 )
 def reconcile_decisions(spark, sf_dir):
-    events = _job_events(spark, sf_dir).where("slot = 1")
-    newest = jobs.latest_events(events, events.select("name", "slot", "spec_fingerprint").distinct()).withColumns(jobs.status_of_event())
-    specs = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("name"), F.lit(1).cast("long").alias("slot"), F.lit("fp").alias("spec_fingerprint"), F.array().cast("array<bigint>").alias("depends_on"), F.lit(5).alias("retry_backoff_seconds"))
-    return jobs.decide(specs, newest, 50_000)
+    """Every customer is a job of one slot; attempt 3 hangs, and every fifth job waits for job 1."""
+    events = _job_events(spark, sf_dir)
+    best = events.groupBy("name", "spec_fingerprint").agg(F.max_by(F.struct("slot", "seq", "outcome", "attempt", "exit_code", "message", "write_nanos"), "seq").alias("e"))
+    newest = best.select("name", "spec_fingerprint", "e.*").withColumns(jobs.status_of_event())
+    newest = newest.withColumn("phase", F.when((F.col("phase") == "failed") & (F.col("attempt") == 3), "running").otherwise(F.col("phase")))
+    c = F.col("c_custkey")
+    deps = F.when(c % 5 == 0, F.array(F.lit(1).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    specs = _t(spark, sf_dir, "customer").select(c.alias("name"), (c % 3).cast("long").alias("slot"), F.lit("fp").alias("spec_fingerprint"), deps.alias("depends_on"), F.lit(5).alias("retry_backoff_seconds"))
+    return jobs.decide(specs, newest, 5_000_050_000)
 
 
 @query(
@@ -748,10 +769,10 @@ def registry_import(spark, sf_dir):
     return tables.import_summary(tables.import_registry(lines, old)[0])
 
 
-@query("select cast(1705276800000000 as bigint) as as_of_nanos, 4 as contracts, (select count(*)::int from part where p_size = 7) as factors, (select count(*)::int from supplier) as strategies, 1 as redlines")
+@query("select cast(1705276800000000 as bigint) as as_of_nanos, 4 as contracts, (select count(*)::int from part) as factors, (select count(*)::int from supplier) as strategies, 1 as redlines")
 def context_bundle(spark, sf_dir):
     part, supplier = _t(spark, sf_dir, "part"), _t(spark, sf_dir, "supplier")
-    experiments = part.where("p_size = 7").select(F.col("p_partkey").cast("string").alias("experiment_fingerprint"), F.col("p_name").alias("hypothesis_summary"), F.col("p_type").alias("level"))
+    experiments = part.select(F.col("p_partkey").cast("string").alias("experiment_fingerprint"), F.col("p_name").alias("hypothesis_summary"), F.col("p_type").alias("level"))
     strategies = supplier.select(F.col("s_name").alias("name"), F.lit("paper").alias("status"))
     redlines = spark.createDataFrame([("r1", "drawdown")], "id string, rule string")
     b = plane.context_bundle(_contracts(spark), experiments, strategies, redlines, NOON)

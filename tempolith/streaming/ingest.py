@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -89,3 +90,36 @@ def deliver(records: DataFrame, send: Callable[[DataFrame, int], object], checkp
         send(batch, batch_id)
 
     return business.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def read_stream(spark: SparkSession, path: str, schema: str, *, max_files: int = 0, max_bytes: str = "") -> DataFrame:
+    """A stream of Parquet files whose batches hold at most so many files or bytes (0 and '' have no bound)."""
+    reader = spark.readStream.schema(schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    if max_bytes:
+        reader = reader.option("maxBytesPerTrigger", max_bytes)
+    return reader.parquet(path)
+
+
+class Health(StreamingQueryListener):
+    """What the streaming queries of a session are doing: (state, rows of the last batch) by the name or id of a query."""
+
+    def __init__(self):
+        self.seen: dict[str, tuple[str, int]] = {}
+
+    def onQueryStarted(self, event):
+        self.seen[event.name or str(event.id)] = ("running", 0)
+
+    def onQueryProgress(self, event):
+        self.seen[event.progress.name or str(event.progress.id)] = ("running", event.progress.numInputRows)
+
+    def onQueryIdle(self, event):
+        self.seen[str(event.id)] = ("idle", 0)
+
+    def onQueryTerminated(self, event):
+        self.seen[str(event.id)] = ("failed" if event.exception else "ended", 0)
+
+    @property
+    def healthy(self) -> bool:
+        return all(state != "failed" for state, _ in self.seen.values())

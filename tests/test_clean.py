@@ -37,9 +37,29 @@ def test_redact(spark):
     assert json.loads(got[0]) == {"ax": 0.01, "gps": "[REDACTED]", "user_id": "[REDACTED]"} and got[1:] == ['{"b": 1.50}', "plain"]
 
 
+def test_redact_keeps_raw_members(spark):
+    rows = ['{"gps":1,"gps":2}', '{"gps":0, "b":1.50,"a":1e400}', '{"n":{"gps": 1}}', '{"\\u0067ps":1,"z":"<&"}', '{"gps":NaN}', '{"gps":1} x', None, '{"gps":1,"\u00e9":"a  b"}']
+    got = [r[0] for r in spark.createDataFrame([(r,) for r in rows], "v string").select(redact(F.col("v"), ["gps"])).collect()]
+    assert got == [
+        '{"gps":"[REDACTED]"}', '{"a":1e400,"b":1.50,"gps":"[REDACTED]"}', rows[2], '{"gps":"[REDACTED]","z":"\\u003c\\u0026"}', rows[4], rows[5], None, '{"gps":"[REDACTED]","\u00e9":"a  b"}',
+    ]
+
+
+def test_repeated_members_take_the_last(spark):
+    df = spark.createDataFrame([('{"n":1,"n":5}',)], "v string")
+    for raw in (False, True):
+        assert df.select(field_predicate(F.col("v"), "n", ">", "4", raw_text=raw)).first()[0] and df.select(field_predicate(F.col("v"), "n", "==", "5", raw_text=raw)).first()[0]
+
+
+def test_monotonic_spreads_keys_without_a_time(spark):
+    df = spark.range(4000).select(F.col("id").alias("arrival"), F.lit("plain").alias("key"))
+    sizes = clean.monotonic(df).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) > 1 and max(r[1] for r in sizes) < 3000
+
+
 QUOTES = [
     ({}, 0), ({"open": -1}, 0x3002), ({"open": 0}, 0x3002), ({"volume": -1}, 0x3002), ({"volume": 0}, 0), ({"low": 10.1}, 0x3003), ({"open": 11}, 0x3003), ({"close": 9}, 0x3003),
-    ({"close": 13.0, "high": 13.0}, 0x3004), ({"close": 7.0, "low": 7.0}, 0x3004), ({"close": 12.11, "high": 13}, 0x3004), ({"close": 12.1, "high": 13}, 0), ({"prev_close": 0}, 0), ({"prev_close": None}, 0),
+    ({"close": 13.0, "high": 13.0}, 0x3004), ({"close": 7.0, "low": 7.0}, 0x3004), ({"close": 12.11, "high": 13}, 0x3004), ({"close": 12.1, "high": 13}, 0), ({"close": 8.47, "open": 8, "high": 9, "low": 7, "prev_close": 7.0}, 0x3004), ({"prev_close": 0}, 0), ({"prev_close": None}, 0),
     *[({f: None}, 0x3001) for f in ("code", "date", "open", "high", "low", "close", "volume")],
 ]
 

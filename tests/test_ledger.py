@@ -114,6 +114,25 @@ def test_record_codec(spark):
     assert codec.decode_record(raw[:12]) is None and codec.decode_record(b"") is None
 
 
+def test_pointer_codec(spark):
+    from tempolith.functions import codec
+    from tempolith.sources import tables
+
+    raw = codec.encode_pointer(7, "ab" * 32)
+    assert raw[:10] == bytes([7, 0, 0, 0, 0, 0, 0, 0, 64, 0]) and codec.decode_pointer(raw) == (7, "ab" * 32)
+    assert codec.decode_pointer(raw[:-1]) is None and codec.decode_pointer(b"") is None and codec.decode_pointer(None) is None
+    dump = spark.createDataFrame([("k:current", raw), ("cut:current", raw[:20]), ("k", b"x")], "key string, value binary")
+    assert [tuple(r) for r in tables.import_pointers(dump).collect()] == [("k", 7, "ab" * 32)]
+
+
+def test_fingerprint_is_linear(spark):
+    import time
+
+    rows = spark.range(60_000).select(F.format_string("k%08d", "id").alias("logical_key"), F.lit(1).cast("long").alias("seq"), F.repeat(F.lit("x"), 150).cast("binary").alias("payload"))
+    began = time.time()
+    assert ledger.fingerprint(rows).first().key_count == 60_000 and time.time() - began < 30
+
+
 def test_key_functions(spark):
     df = spark.createDataFrame([("order:1:v00000000000000000007",), ("order:1:current",), ("a:v1",), ("imu:dev0:100",), ("x:-5",)], "k string")
     got = df.select(keys.parse_version_key("k").alias("p"), keys.is_internal("k").alias("i"), *[c.alias(n) for c, n in zip(keys.device_and_ts("k"), "dt")]).collect()
