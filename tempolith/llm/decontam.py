@@ -2,11 +2,13 @@
 
 The benchmark's normalised word windows form a hash set that is broadcast in blocks of at
 most ``block_words`` words; each block scans every document once, map-side, so no document
-is shuffled and no broadcast grows with the corpus.  A vectorised rolling hash proposes
-windows and a dictionary look-up of the words themselves verifies every hit.
+is shuffled and no broadcast grows with the corpus.  An index is a sorted array of window
+hashes beside the packed words, about 30 bytes a word and so 120 MB a block; what one block
+finds is written before the next one is read, so a worker holds one index.  A rolling hash
+proposes windows, and the words themselves verify every hit.
 
 Defined cases: a null text or item has no words; items with the same id count once; an
-empty benchmark hits nothing; a null item id is ignored (it has no name to report).
+empty benchmark hits nothing; windows of a null item id are hits without a name to report.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh
+from .common import fresh, materialize
 
 #: Bytes of words stay (A-Z lower-cased), all others become spaces.
 _WORD_BYTES = bytes(
@@ -30,7 +32,8 @@ _WORD_BYTES = bytes(
     for b in range(256)
 )
 _WORD_RE = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-_FILTER_BITS = 22
+#: Slots of the filter for each window.
+_SLOTS = 16
 _MULT = np.random.default_rng(20240).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 SCAN_TYPE = "n_words long, n_hit long, items array<string>, spans array<struct<start:int,stop:int>>"
@@ -42,42 +45,62 @@ def split_words(text: bytes | None) -> list[bytes]:
 
 
 class WindowIndex:
-    """Windows of one benchmark block: a bit table over rolling hashes, then exact words."""
-
-    def __init__(self, segments: list[tuple[str, list[bytes]]], ngram: int):
-        self.exact: dict[int, dict[tuple[bytes, ...], set[str]]] = {}
-        for item, words in segments:
-            size = min(ngram, len(words))
-            known = self.exact.setdefault(size, {})
-            for i in range(len(words) - size + 1):
-                known.setdefault(tuple(words[i : i + size]), set()).add(item)
+    """Windows of one benchmark block (item or None, words joined by spaces): filter, sorted hashes, packed words."""
+
+    def __init__(self, segments: list[tuple[str | None, bytes]], ngram: int):
+        self.items = [item for item, _ in segments]
+        self.text = b" ".join(words for _, words in segments)
+        base, count, offsets, found = 0, 0, [], {}
+        for number, (_, words) in enumerate(segments):
+            each = words.split()
+            size = min(ngram, len(each))
+            lengths = np.fromiter(map(len, each), np.int64, len(each))
+            offsets.append((base + np.cumsum(lengths + 1) - lengths - 1).astype(np.int64))
+            hashes = self._hashes(np.fromiter(map(hash, each), np.int64, len(each)).view(np.uint64), size)
+            found.setdefault(size, []).append((hashes, np.arange(count, count + len(hashes), dtype=np.int32), np.full(len(hashes), number, np.int32)))
+            count += len(each)
+            base += len(words) + 1
+        self.starts = np.append(np.concatenate(offsets), base) if offsets else np.zeros(1, np.int64)
         self.tables = {}
-        for size, known in self.exact.items():
-            flat = np.fromiter((hash(w) for win in known for w in win), np.int64, size * len(known)).view(np.uint64)
-            table = np.zeros(1 << _FILTER_BITS, bool)
-            table[self._slots(flat, size)[::size]] = True
-            self.tables[size] = table
+        for size, parts in found.items():
+            hashes, first, item = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(hashes, kind="stable")
+            hashes = hashes[order]
+            shift = np.uint64(64 - max(10, int(_SLOTS * len(hashes) - 1).bit_length()))
+            bits = np.zeros((1 << int(64 - shift)) >> 3, np.uint8)
+            slots = (hashes >> shift).astype(np.int64)
+            np.bitwise_or.at(bits, slots >> 3, np.left_shift(1, slots & 7).astype(np.uint8))
+            self.tables[size] = (shift, bits, hashes, first[order], item[order])
 
     @staticmethod
-    def _slots(hashes: np.ndarray, size: int) -> np.ndarray:
-        n = len(hashes) - size + 1
+    def _hashes(words: np.ndarray, size: int) -> np.ndarray:
+        """A hash of every run of ``size`` words."""
+        n = len(words) - size + 1
         total = np.zeros(n, np.uint64)
         for k in range(size):
-            total += hashes[k : k + n] * _MULT[k % 64]
-        return (total >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
+            total += words[k : k + n] * _MULT[k % 64]
+        total ^= total >> np.uint64(32)
+        total *= _MULT[0]
+        return total
 
     def hits(self, words: list[bytes]) -> list[tuple[int, int, set[str]]]:
         """(first word, words, items) of every benchmark window in the text."""
         found = []
-        hashes = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
-        for size, table in self.tables.items():
+        each = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+        for size, (shift, bits, hashes, first, item) in self.tables.items():
             if len(words) < size:
                 continue
-            known = self.exact[size]
-            for i in np.flatnonzero(table[self._slots(hashes, size)]):
-                items = known.get(tuple(words[i : i + size]))
+            own = self._hashes(each, size)
+            slots = (own >> shift).astype(np.int64)
+            maybe = np.flatnonzero(bits[slots >> 3] >> (slots & 7).astype(np.uint8) & 1)
+            low, high = np.searchsorted(hashes, own[maybe], "left"), np.searchsorted(hashes, own[maybe], "right")
+            for i, a, b in zip(maybe.tolist(), low.tolist(), high.tolist()):
+                if a == b:
+                    continue
+                window = b" ".join(words[i : i + size])
+                items = {self.items[item[k]] for k in range(a, b) if self.text[self.starts[first[k]] : self.starts[first[k] + size] - 1] == window}
                 if items:
-                    found.append((int(i), size, items))
+                    found.append((i, size, items - {None}))
         return found
 
 
@@ -96,7 +119,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, ngram: int, bloc
     """Benchmark segments streamed to the driver in blocks of bounded size."""
     block, held = [], 0
     rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
-    for row in rows.where("item is not null and text is not null").toLocalIterator():
+    for row in rows.where("text is not null").toLocalIterator():
         words = split_words(row.text.encode())
         step = max(1, block_words - ngram + 1)
         for start in range(0, max(1, len(words) - ngram + 1) if words else 0, step):
@@ -104,7 +127,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, ngram: int, bloc
             if block and held + len(part) > block_words:
                 yield block
                 block, held = [], 0
-            block.append((row.item, part))
+            block.append((row.item, b" ".join(part)))
             held += len(part)
     if block:
         yield block
@@ -133,7 +156,7 @@ def scan_benchmark(
     item_col: str = "item_id",
     item_text_col: str = "text",
     ngram: int = 8,
-    block_words: int = 2_000_000,
+    block_words: int = 4_000_000,
 ) -> DataFrame:
     """docs with one struct column more (named ``scan``, or ``scan_`` where that is taken).
 
@@ -195,6 +218,7 @@ def scan_benchmark(
         df = df.mapInArrow(scan, T.StructType(fields))
         if last:
             return df
+        df = materialize(df, "benchmark-hits")  # one index at a time
         block, number = following, number + 1
 
 

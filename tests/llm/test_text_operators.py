@@ -49,6 +49,30 @@ def test_decontamination_equals_brute_force(spark):
         assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (len(w), len(hit), len(items), digest, len(items) >= 2)
 
 
+def test_null_items_hit_without_a_name(spark):
+    benchmark = spark.createDataFrame([(None, "red green blue"), (7, "one two three")], "item_id bigint, text string")
+    rows = [(1, "a red green blue b one two three"), (2, "red green blue"), (3, "red green")]
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in decontam.contamination_report(docs(spark, rows), benchmark).collect()}
+    assert got == {1: (6, 1), 2: (3, 0), 3: (0, 0)}
+
+
+def test_index_memory_is_bounded_by_words():
+    """A block of 400,000 words takes less than 60 bytes a word, its peak while built less than 200."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    segments = [(str(i), b" ".join(b"word%d" % x for x in rng.integers(0, 90_000, 4_000))) for i in range(100)]
+    tracemalloc.start()
+    index = decontam.WindowIndex(segments, 8)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert held < 60 * 400_000 and peak < 200 * 400_000, (held, peak)
+    words = segments[41][1].split()
+    assert [(i, n) for i, n, items in index.hits(words) if "41" in items] == [(i, 8) for i in range(3_993)] and not index.hits([w + b"x" for w in words])
+
+
 def test_decontamination_cuts_and_drops(spark):
     item = "one two three four five six seven eight nine"
     benchmark = spark.createDataFrame([("a", item), ("b", "Rare Phrase"), (None, "zz"), ("c", None), ("b", "Rare Phrase")], "item_id string, text string")
