@@ -263,3 +263,20 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, id_col: str = "d
         F.sha2(F.array_join("scan.items", ",").cast("binary"), 256).alias("items_sha256"),
         (F.size("scan.items") >= min_items).alias("contaminated"),
     )
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: contamination_report in DuckDB's SQL.
+REPORT_SQL = f"""
+with d as (select doc_id, {_WORDS} as w from documents),
+b as (select cast(item_id as varchar) as item, {_WORDS} as w from benchmark),
+windows as (select distinct item, least(8, len(w)) as k, array_to_string(w[i:i + least(8, len(w)) - 1], ' ') as win
+  from b, unnest(range(1, greatest(1, len(w) - 7) + 1)) as t(i) where len(w) > 0),
+sizes as (select distinct k from windows),
+own as (select doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') as win from d, sizes, unnest(range(1, len(w) - k + 2)) as t(i)),
+hits as (select distinct doc_id, i, k, item from own join windows using (k, win)),
+places as (select doc_id, count(distinct p) as n_hit from hits, unnest(range(i, i + k)) as u(p) group by doc_id),
+items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as listed from (select distinct doc_id, item from hits where item is not null) group by doc_id)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(listed, '')) as items_sha256, coalesce(n_items, 0) >= 2 as contaminated
+from d left join places using (doc_id) left join items using (doc_id)
+"""

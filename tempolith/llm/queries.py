@@ -72,4 +72,4 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_line_dedup": line_dedup.LINE_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": decontam.REPORT_SQL, "op10_line_dedup": line_dedup.LINE_SQL}
