@@ -3,13 +3,19 @@
 Every window of ``span`` bytes is assigned to an anchor inside it: the leftmost least of its
 gram hashes, so equal windows have equal anchors at equal offsets.  A shuffle by anchor hash
 brings the places of an anchor together.  Places whose whole context (all windows of the
-anchor) recurs are settled at once, map-side where both lie in one buffer.  For anchors with
-different contexts one place of each context sends its bytes, and two hash-compared suffix
-sorts, of what follows and of what precedes the anchor, give the windows that recur: those
-that share both a prefix class and a suffix class.  Anchors with more contexts than
-``group_limit`` take another exact way: their windows are counted by 128-bit hashes, spread
-over the cluster, so that no task holds an unbounded group.  Texts are keyed by 96 bits of
-their MD5, so a lost executor's work can be redone in any partitioning.
+anchor) recurs are settled at once, map-side where both lie in one buffer; contexts are held
+equal by a cryptographic digest of their bytes (128 bits of BLAKE2b), never by the rolling
+hash.  For anchors with different contexts one place of each context sends its bytes, and two
+hash-compared suffix sorts, of what follows and of what precedes the anchor, give the windows
+that recur: those that share both a prefix class and a suffix class, checked byte by byte.
+
+Anchors with more contexts than ``group_limit`` are split until every part is sorted in the
+same way: a context is cut into parts that hold the windows beginning a certain range of bytes
+before the anchor, and parts stay together only if they share the bytes that all windows of
+their range have.  Equal parts are settled like equal contexts; ranges narrow fourfold each
+time, down to single windows, whose parts are all equal.  So no task sorts an unbounded group.
+Texts are keyed by 96 bits of their MD5, so a lost executor's work can be redone in any
+partitioning.
 
 Defined cases: null texts are empty; texts shorter than span are kept whole; copies of a text
 count as other places; empty tables give no rows.
@@ -31,8 +37,9 @@ from .suffix_sort import PrefixHashes, sort_suffixes
 #: Bytes of a gram, and of text that is worked on at once.
 GRAM, BUFFER = 64, 1 << 21
 _PLACE_BITS = np.uint64(28)
-_BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
-_ROW = "kind int, h long, c long, key binary, lo long, size int, off int, many boolean"
+#: How many windows of a context a part has, each time a group is too large.
+_WIDTHS = (64, 16, 4, 1)
+_ROW = "kind int, h long, c long, d long, key binary, lo long, size int, off int, many boolean"
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -63,14 +70,21 @@ def _segments(texts: list[bytes], span: int) -> Iterator[tuple[bytes, int, bytes
                 yield key, at, text[at : at + BUFFER + span - 1]
 
 
+def _digests(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of BLAKE2b of each piece, as two columns."""
+    both = np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in pieces]), np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
+
+
 def _anchors(parts: list[tuple[bytes, int, bytes]], span: int):
-    """Anchors of a buffer: part, first window, windows, offset of the anchor, and two hashes."""
-    text = np.frombuffer(b"".join(p[2] for p in parts), np.uint8)
+    """Anchors of a buffer: part, start and size of the context, offset in it and hash of the anchor, digest of the context."""
+    joined = b"".join(p[2] for p in parts)
+    text = np.frombuffer(joined, np.uint8)
     ends = np.cumsum([len(p[2]) for p in parts])
-    one, two = PrefixHashes(text, _BASES[0]), PrefixHashes(text, _BASES[1])
+    rolled = PrefixHashes(text)
     n = len(text)
     at = np.arange(n - GRAM + 1)
-    grams = _mix((one.sums[GRAM:] - one.sums[:-GRAM]) * one.down[: n - GRAM + 1])
+    grams = _mix((rolled.sums[GRAM:] - rolled.sums[:-GRAM]) * rolled.down[: n - GRAM + 1])
     keyed = (grams >> _PLACE_BITS << _PLACE_BITS) | at.astype(np.uint64)
     anchor = (_sliding_min(keyed, span - GRAM + 1) & ((np.uint64(1) << _PLACE_BITS) - np.uint64(1))).astype(np.int64)
     valid = np.ones(n - span + 1, bool)
@@ -81,27 +95,27 @@ def _anchors(parts: list[tuple[bytes, int, bytes]], span: int):
     first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
     last = np.append(first[1:], len(windows)) - 1
     lo, size, place = windows[first], windows[last] - windows[first] + span, anchor[first]
-    context = _mix(two.of(lo, size) ^ _mix((size * 256 + place - lo).astype(np.uint64)))
-    return np.searchsorted(ends, lo, side="right"), lo, size, place - lo, grams[place].view(np.int64), context.view(np.int64)
+    c, d = _digests([joined[a:b] for a, b in zip(lo.tolist(), (lo + size).tolist())])  # equal bytes have equal anchors
+    return np.searchsorted(ends, lo, side="right"), lo, size, place - lo, grams[place].view(np.int64), c, d
 
 
-def _batch(kind, h, c, key, lo, size, off, many) -> pa.RecordBatch:
+def _batch(kind, h, c, d, key, lo, size, off, many) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(kind, pa.int32()), pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(key, pa.binary()),
+            pa.array(kind, pa.int32()), pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.int64()), pa.array(key, pa.binary()),
             pa.array(lo, pa.int64()), pa.array(size, pa.int32()), pa.array(off, pa.int32()), pa.array(many, pa.bool_()),
         ],
-        ["kind", "h", "c", "key", "lo", "size", "off", "many"],
+        ["kind", "h", "c", "d", "key", "lo", "size", "off", "many"],
     )
 
 
 def _buffer_rows(parts: list[tuple[bytes, int, bytes]], span: int) -> pa.RecordBatch:
     """Kind 0: a place of each (anchor, context) of the buffer, kind 1: byte ranges that recur in it."""
-    part, lo, size, off, h, c = _anchors(parts, span)
+    part, lo, size, off, h, c, d = _anchors(parts, span)
     shift = np.array([p[1] for p in parts]) - np.concatenate([[0], np.cumsum([len(p[2]) for p in parts])[:-1]])
     keys = np.array([p[0] for p in parts], object)
-    order = np.lexsort((c, h))
-    new = np.append(True, (h[order][1:] != h[order][:-1]) | (c[order][1:] != c[order][:-1]))
+    order = np.lexsort((d, c, h))
+    new = np.append(True, np.any([x[order][1:] != x[order][:-1] for x in (h, c, d)], axis=0))
     count = np.diff(np.append(np.flatnonzero(new), len(order)))
     again = np.zeros(len(order), bool)
     again[order] = np.repeat(count > 1, count)
@@ -117,6 +131,7 @@ def _buffer_rows(parts: list[tuple[bytes, int, bytes]], span: int) -> pa.RecordB
         np.repeat([0, 1], [len(first), ranges]),
         np.concatenate([h[first], spread]),
         np.concatenate([c[first], np.zeros(ranges, np.int64)]),
+        np.concatenate([d[first], np.zeros(ranges, np.int64)]),
         [*keys[part[first]], *keys[part[a]]],
         np.concatenate([(lo + shift[part])[first], (lo + shift[part])[a]]),
         np.concatenate([size[first], lo[b] + size[b] - lo[a]]),
@@ -152,9 +167,9 @@ def settle(rows: DataFrame) -> DataFrame:
 
         def work(t: pa.Table, last: bool):
             nonlocal carried, same_before, h_before, pending
-            h, c = t.column("h").to_numpy(), t.column("c").to_numpy()
+            h, c, d = (t.column(x).to_numpy() for x in ("h", "c", "d"))
             n = len(h)
-            new_c = np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1]))
+            new_c = np.append(True, (h[1:] != h[:-1]) | (c[1:] != c[:-1]) | (d[1:] != d[:-1]))
             new_c[0] = not same_before
             new_h = np.append(h_before is None or h[0] != h_before, h[1:] != h[:-1])
             again = ~new_c | np.append(~new_c[1:], False) | t.column("many").to_numpy(zero_copy_only=False)
@@ -199,7 +214,7 @@ def settle(rows: DataFrame) -> DataFrame:
             for part in work(t.combine_chunks(), True):
                 yield from part.to_batches()
 
-    return rows.repartition("h").sortWithinPartitions("h", "c").mapInArrow(run, _ROW)
+    return rows.repartition("h").sortWithinPartitions("h", "c", "d").mapInArrow(run, _ROW)
 
 
 def recurring_windows(contexts: list[bytes], off: np.ndarray, anchor: np.ndarray, span: int) -> np.ndarray:
@@ -298,44 +313,45 @@ def _compare(contexts: DataFrame, span: int) -> DataFrame:
     return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(run, "key binary, lo long, size int")
 
 
-def _count_windows(contexts: DataFrame, span: int) -> DataFrame:
-    """(key, lo, size) of windows that recur, by counting 128-bit hashes; for anchors with too many contexts."""
+def _narrowed(contexts: DataFrame, span: int, width: int) -> DataFrame:
+    """Places of parts of contexts: the windows that begin p * width to p * width + width - 1 bytes before the anchor.
+
+    Parts of one p that have a window in common share the bytes that every window of p has; h is a hash of those.
+    """
+    most = span - GRAM
 
     def run(batches):
         for batch in batches:
-            keys, lo, off = batch.column(1).to_pylist(), batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            w1, w2, key, at = [], [], [], []
-            for k, first, text in zip(keys, lo, batch.column(4).to_pylist()):
-                x = np.frombuffer(text, np.uint8)
-                p = np.arange(len(x) - span + 1)
-                for base, to in zip(_BASES, (w1, w2)):
-                    to.append(_mix(PrefixHashes(x, base).of(p, np.full(len(p), span))).view(np.int64))
-                key += [k] * len(p)
-                at.append(first + p)
-            if key:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(w1)), pa.array(np.concatenate(w2)), pa.array(key, pa.binary()), pa.array(np.concatenate(at))], ["w1", "w2", "key", "lo"])
-
-    windows = contexts.mapInArrow(run, "w1 long, w2 long, key binary, lo long")
-    often = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return windows.join(often, ["w1", "w2"], "left_semi").select("key", "lo", F.lit(span).alias("size"))
+            h, key, at, off_, bodies = [], [], [], [], []
+            for k, lo, off, ctx in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 4))):
+                least = off - (len(ctx) - span)
+                for p in range(least // width, off // width + 1):
+                    near, far = p * width, min(p * width + width - 1, most)
+                    first, last = max(near, least), min(far, off)
+                    shared = b"%d " % p + ctx[off - near : off + span - far]
+                    h.append(int.from_bytes(hashlib.blake2b(shared, digest_size=8).digest(), "little", signed=True))
+                    key.append(k)
+                    at.append(lo + off - last)
+                    off_.append(last)
+                    bodies.append(ctx[off - last : off + span - first])
+            if h:
+                yield _batch(np.zeros(len(h), np.int32), h, *_digests(bodies), key, at, [len(x) for x in bodies], off_, np.zeros(len(h), bool))
+
+    return contexts.mapInArrow(run, _ROW)
 
 
 def repeated_ranges(docs: DataFrame, *, span: int = 200, group_limit: int = 30_000) -> DataFrame:
     """(key, ranges): the byte ranges, as start and stop, that windows occurring elsewhere cover, for texts with any."""
     settled = materialize(settle(places(docs, span)), "suffix-places")
-    ranges = settled.where("kind = 1").select("key", "lo", "size")
-    needs = settled.where("kind = 2")
-    large = needs.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > group_limit).select("h")
-    if large.isEmpty():
-        found = [_compare(_with_contexts(docs, needs), span)]
-    else:
-        large = materialize(large, "suffix-large")
-        found = [
-            _compare(_with_contexts(docs, needs.join(large, "h", "left_anti")), span),
-            _count_windows(_with_contexts(docs, needs.join(large, "h", "left_semi")), span),
-        ]
-    for more in found:
-        ranges = ranges.union(more)
+    ranges, needs = settled.where("kind = 1").select("key", "lo", "size"), settled.where("kind = 2")
+    for width in _WIDTHS:
+        large = materialize(needs.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > group_limit).select("h"), "suffix-large")
+        if large.isEmpty():
+            break
+        ranges = ranges.union(_compare(_with_contexts(docs, needs.join(large, "h", "left_anti")), span))
+        settled = materialize(settle(_narrowed(_with_contexts(docs, needs.join(large, "h", "left_semi")), span, width)), "suffix-places")
+        ranges, needs = ranges.union(settled.where("kind = 1").select("key", "lo", "size")), settled.where("kind = 2")
+    ranges = ranges.union(_compare(_with_contexts(docs, needs), span))
     return ranges.distinct().groupBy("key").agg(F.collect_list(F.struct("lo", "size")).alias("ranges"))
 
 

@@ -114,7 +114,7 @@ def test_suffix_dedup_equals_brute_force(spark):
     for b in raw:
         seen.update(b[p : p + span] for p in range(len(b) - span + 1))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
-    for limit in (100_000, 1):  # suffix sorts, and counts for large groups
+    for limit in (100_000, 2):  # suffix sorts of whole groups, and of split ones
         got = {r.doc_id: r for r in suffix_dedup.repeat_report(df, group_limit=limit).collect()}
         assert len(got) == len(texts)
         for i, b in enumerate(raw):
@@ -130,6 +130,38 @@ def test_suffix_dedup_equals_brute_force(spark):
     assert suffix_dedup.repeat_report(docs(spark, [])).count() == 0 and suffix_dedup.repeat_report(docs(spark)).count() == len(EDGES)
 
 
+def test_suffix_dedup_of_a_text_beyond_the_buffer(spark):
+    """Repeats across the border of two parts of one text, and of that text in a short one."""
+    rng = np.random.default_rng(8)
+    text = rng.integers(97, 123, suffix_dedup.BUFFER + 5000).astype(np.uint8).tobytes().decode()
+    edge = suffix_dedup.BUFFER
+    text = text[:1000] + text[edge - 150 : edge + 250] + text[1400:]
+    other = "short " + text[edge - 90 : edge + 130] + " tail"
+    got = {r.doc_id: r for r in suffix_dedup.repeat_report(spark.createDataFrame([(1, text), (2, other), (3, text[:199])], "doc_id bigint, text string")).collect()}
+    kept = text[:1000] + text[1400 : edge - 150] + text[edge + 250 :]
+    assert (got[1].n_removed, got[1].n_spans, got[1].kept_sha256) == (800, 2, hashlib.sha256(kept.encode()).hexdigest())
+    assert (got[2].n_removed, got[2].n_spans) == (220, 1) and got[3].n_removed == 0
+
+
+def test_suffix_dedup_holds_no_collision_for_a_repeat(monkeypatch):
+    """With four values for all hashes of grams, and one for all rolling hashes, only equal bytes recur."""
+    rng = np.random.default_rng(9)
+    passage = rng.integers(97, 123, 700).astype(np.uint8).tobytes()
+    texts = [rng.integers(97, 123, 1500).astype(np.uint8).tobytes() for _ in range(4)]
+    texts[3] = texts[3][:300] + passage + texts[3][300:] + passage
+    monkeypatch.setattr(suffix_dedup, "_mix", lambda h: (h & np.uint64(3)) << np.uint64(40))
+    rows = suffix_dedup._buffer_rows(list(suffix_dedup._segments(texts, 200)), 200).to_pylist()
+    assert len({r["h"] for r in rows if r["kind"] == 0}) <= 4
+    marked = [(r["key"], r["lo"], r["lo"] + r["size"]) for r in rows if r["kind"] == 1]
+    assert marked and all(k == suffix_dedup.text_key(texts[3]) and (300 <= a and b <= 1000 or 1800 + 700 <= b and 1800 <= a) for k, a, b in marked)
+    monkeypatch.setattr(suffix_sort.PrefixHashes, "of", lambda self, start, length: np.zeros(len(start), np.uint64))
+    text = rng.integers(97, 99, 300).astype(np.uint8)
+    start, length = rng.integers(0, 260, 60), np.full(60, 40)
+    order, lcp = suffix_sort.sort_suffixes(text, start, length, np.zeros(60, int))
+    strings = [text[a : a + 40].tobytes() for a in start[order]]
+    assert strings == sorted(strings) and all((n == 40) == (x == y) for x, y, n in zip(strings, strings[1:], lcp[1:]))
+
+
 def test_least_determinant_against_all_subsets(spark, monkeypatch):
     """Groups of 12 vectors, 3 of them far out: no half of six rows has a much smaller determinant than the one found."""
     from itertools import combinations
