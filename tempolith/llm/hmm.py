@@ -4,7 +4,7 @@ Word counts of all training texts are aggregated first.  The ``emissions`` most
 words and the end mark have emission probabilities of their own; all other words share one
 emission class, within which a word has its smoothed relative frequency (one unit of mass is
 left for unknown words), so the model is a distribution over all texts.  A start found on a
-bounded sample of documents is followed by Baum-Welch passes over all training texts: each
+bounded sample of documents, of long ones a piece from a place that a hash draws, is followed by Baum-Welch passes over all training texts: each
 task sums expected counts over its documents, and Spark adds them up by word.  Scores run
 the scaled forward recursion over whole texts, many documents at a time; counts of words
 beyond a broadcast table of bounded size come from a join with all word counts.
@@ -197,6 +197,8 @@ def warm_start(texts: list[bytes], vocabulary: Vocabulary, share: np.ndarray, st
     rng = np.random.default_rng(seed)
     parts = list(_buffers(iter(texts), vocabulary))
     emits = _topics([d for p in parts for d in p], share, states, rounds, rng) if parts else np.tile(share, (states, 1))
+    emits = emits * rng.uniform(0.98, 1.02, emits.shape)  # equal states would stay equal
+    emits /= emits.sum(1, keepdims=True)
     moves = 0.9 * np.eye(states) + 0.1 / states
     model = Model(np.full(states, 1 / states), moves, emits)
     for _ in range(rounds // 2 if parts else 0):
@@ -239,12 +241,13 @@ def _vocabulary(counts: DataFrame, ends: int, emissions: int) -> Vocabulary:
     return Vocabulary(words, numbers, min(emissions, len(words)), (totals.n or 0) + ends, totals.v + (ends > 0), ends)
 
 
-def train(train_docs: DataFrame, vocabulary: Vocabulary, *, states: int, passes: int, sample_docs: int, sample_bytes: int, rounds: int, seed: int) -> Model:
-    """Baum-Welch over all of train_docs.text, from a start on sample_docs texts of at most sample_bytes."""
+def train(train_docs: DataFrame, vocabulary: Vocabulary, *, states: int, passes: int, sample_docs: int, sample_chars: int, rounds: int, seed: int) -> Model:
+    """Baum-Welch over all of train_docs.text, from a start on sample_docs texts, or pieces of sample_chars of longer ones."""
     spark, own = train_docs.sparkSession, vocabulary.own
     share = np.concatenate([vocabulary.counts[:own], [vocabulary.ends, vocabulary.rest]]).astype(float) + ADD
     share /= share.sum()
-    small = train_docs.where(F.octet_length("text") <= sample_bytes)
+    room = F.greatest(F.length("text") - sample_chars + 1, F.lit(1))
+    small = train_docs.select("doc_id", F.substring("text", (F.pmod(F.xxhash64("text"), room) + 1).cast("int"), F.lit(sample_chars)).alias("text"))
     key = F.struct("doc_id", "text")
     texts = drawn(small, key, sample_docs, vocabulary.ends).select("text").toArrow().column(0).cast(pa.binary()).to_pylist()
     model = warm_start(texts, vocabulary, share, states, rounds, seed)
@@ -282,14 +285,14 @@ def score_documents(
     emissions: int = 16_384,
     passes: int = 2,
     sample_docs: int = 1_500,
-    sample_bytes: int = 16_384,
+    sample_chars: int = 16_384,
     rounds: int = 12,
     seed: int = 11,
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document.
 
     Documents whose id has a crc32 divisible by 10 are held out of all counts.  What reaches the
-    driver is bounded: the sample (sample_docs x sample_bytes), TABLE_WORDS counts, and
+    driver is bounded: the sample (sample_docs x sample_chars), TABLE_WORDS counts, and
     (emissions + states) x states expected counts a pass.
     """
     spark = docs.sparkSession
@@ -299,7 +302,7 @@ def score_documents(
     counts = materialize(word_counts(learn), "word-counts")
     ends = learn.count()
     vocabulary = _vocabulary(counts, ends, emissions)
-    model = train(learn, vocabulary, states=states, passes=passes, sample_docs=sample_docs, sample_bytes=sample_bytes, rounds=rounds, seed=seed)
+    model = train(learn, vocabulary, states=states, passes=passes, sample_docs=sample_docs, sample_chars=sample_chars, rounds=rounds, seed=seed)
     shared = spark.sparkContext.broadcast((vocabulary, model))
     base_mass = vocabulary.tokens + ADD * (vocabulary.types + 1)
     rest_mass = vocabulary.rest + ADD * (vocabulary.rest_types + 1)

@@ -280,6 +280,15 @@ def test_language_model_report(spark):
     assert hmm.score_documents(docs(spark, [])).count() == 0 and hmm.score_documents(docs(spark), passes=1).count() == len(EDGES)
 
 
+def test_states_differ_where_all_texts_are_longer_than_the_sample(spark):
+    rng = np.random.default_rng(12)
+    text = lambda i: " ".join(f"{'ab'[i % 2]}{int(x)}" for x in rng.integers(0, 40, 500))
+    df = spark.createDataFrame([(i, text(i)) for i in range(40)], "doc_id bigint, text string")
+    total = lambda states: hmm.score_documents(df, states=states, sample_chars=300, passes=2).agg(F.sum("score")).first()[0]
+    one, two = total(1), total(2)
+    assert two > one + 0.25 * 40 * 500  # up to log10(2) a word
+
+
 def test_html_extraction(spark):
     field = html_extract.fit(html_pages.labelled_pages(250, seed=1), rounds=120)
     right = total = 0
