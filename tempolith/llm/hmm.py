@@ -1,13 +1,15 @@
 """Hidden Markov language model: training by Baum-Welch, exact scoring by the forward recursion.
 
-Word counts of all training texts are aggregated first.  The ``emissions`` most frequent
-words and the end mark have emission probabilities of their own; all other words share one
-emission class, within which a word has its smoothed relative frequency (one unit of mass is
-left for unknown words), so the model is a distribution over all texts.  A start found on a
-bounded sample of documents, of long ones a piece from a place that a hash draws, is followed by Baum-Welch passes over all training texts: each
-task sums expected counts over its documents, and Spark adds them up by word.  Scores run
-the scaled forward recursion over whole texts, many documents at a time; counts of words
-beyond a broadcast table of bounded size come from a join with all word counts.
+Word counts of all training texts are aggregated first.  Words seen ``least_count`` times or
+more, which grow in number with the corpus until they fill the table of TABLE_WORDS, and the
+end mark have emission probabilities of their own; all other words share one emission class,
+within which a word has its smoothed relative frequency (one unit of mass is left for unknown
+words), so the model is a distribution over all texts.  A start found on a bounded sample of
+documents, of long ones a piece from a place that a hash draws, is followed by Baum-Welch
+passes over all training texts: each task sums expected counts over its documents, and Spark
+adds them up by word.  Scores run the scaled forward recursion over whole texts, many documents
+at a time; counts of words beyond a broadcast table of bounded size come from a join with all
+word counts.
 
 Defined cases: null and empty texts are the end mark alone; a null id counts as held out;
 repeated rows each count and each get a row; without training texts every word is unknown.
@@ -227,7 +229,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _vocabulary(counts: DataFrame, ends: int, emissions: int) -> Vocabulary:
+def _vocabulary(counts: DataFrame, ends: int, least_count: int) -> Vocabulary:
     totals = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     # a histogram of logarithmic counts says above which count there are few enough words
     short = counts.where(F.octet_length("word") <= WORD_BYTES).withColumn("bin", F.floor(F.log2("n") * 64))
@@ -238,7 +240,7 @@ def _vocabulary(counts: DataFrame, ends: int, emissions: int) -> Vocabulary:
         least, room = b, room - words
     top = short.where(F.col("bin") >= least).select("word", "n").toArrow().sort_by([("n", "descending"), ("word", "ascending")])
     words, numbers = top.column("word").to_pylist(), top.column("n").to_numpy().astype(np.int64)
-    return Vocabulary(words, numbers, min(emissions, len(words)), (totals.n or 0) + ends, totals.v + (ends > 0), ends)
+    return Vocabulary(words, numbers, int((numbers >= least_count).sum()), (totals.n or 0) + ends, totals.v + (ends > 0), ends)
 
 
 def train(train_docs: DataFrame, vocabulary: Vocabulary, *, states: int, passes: int, sample_docs: int, sample_chars: int, rounds: int, seed: int) -> Model:
@@ -282,7 +284,7 @@ def score_documents(
     id_col: str = "doc_id",
     text_col: str = "text",
     states: int = 8,
-    emissions: int = 16_384,
+    least_count: int = 5,
     passes: int = 2,
     sample_docs: int = 1_500,
     sample_chars: int = 16_384,
@@ -293,7 +295,7 @@ def score_documents(
 
     Documents whose id has a crc32 divisible by 10 are held out of all counts.  What reaches the
     driver is bounded: the sample (sample_docs x sample_chars), TABLE_WORDS counts, and
-    (emissions + states) x states expected counts a pass.
+    (TABLE_WORDS + states) x states expected counts a pass.
     """
     spark = docs.sparkSession
     held = (F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 10 == 0).alias("held_out")
@@ -301,7 +303,7 @@ def score_documents(
     learn = slim.where("not held_out")
     counts = materialize(word_counts(learn), "word-counts")
     ends = learn.count()
-    vocabulary = _vocabulary(counts, ends, emissions)
+    vocabulary = _vocabulary(counts, ends, least_count)
     model = train(learn, vocabulary, states=states, passes=passes, sample_docs=sample_docs, sample_chars=sample_chars, rounds=rounds, seed=seed)
     shared = spark.sparkContext.broadcast((vocabulary, model))
     base_mass = vocabulary.tokens + ADD * (vocabulary.types + 1)

@@ -270,7 +270,7 @@ def test_language_model_report(spark):
     tokens = {r.doc_id: (r.text or "").encode().lower().split() + [None] for r in rows}
     counts = Counter(t for i, w in tokens.items() if not out(i) for t in w)
     n, v = sum(counts.values()), len(counts)
-    got = {r.doc_id: r for r in hmm.score_documents(df, emissions=500, passes=1).collect()}
+    got = {r.doc_id: r for r in hmm.score_documents(df, least_count=3, passes=1).collect()}
     for i, w in tokens.items():
         base = sum(math.log10((counts[t] + 0.1) / (n + 0.1 * (v + 1))) for t in w)
         r = got[i]
@@ -280,6 +280,14 @@ def test_language_model_report(spark):
     assert hmm.score_documents(docs(spark, [])).count() == 0 and hmm.score_documents(docs(spark), passes=1).count() == len(EDGES)
 
 
+def test_words_with_emissions_grow_with_the_corpus(spark):
+    small = spark.createDataFrame([(i, "often " * 3 + f"rare{i}") for i in range(4)], "id bigint, text string")
+    counts = hmm.word_counts(small.union(spark.createDataFrame([(9, "twice twice " + "x" * 80)], "id bigint, text string")))
+    one = hmm._vocabulary(counts, 5, least_count=2)
+    assert one.own == 2 and one.words[:2] == [b"often", b"twice"] and one.rest == 5 and one.rest_types == 5
+    assert hmm._vocabulary(counts, 5, least_count=1).own == 6  # the word over WORD_BYTES stays outside the table
+
+
 def test_states_differ_where_all_texts_are_longer_than_the_sample(spark):
     rng = np.random.default_rng(12)
     text = lambda i: " ".join(f"{'ab'[i % 2]}{int(x)}" for x in rng.integers(0, 40, 500))
