@@ -490,7 +490,12 @@ def anchored_slots(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", scalars.anchored_slot(nanos, 86400, zone, hour, minute).alias("slot"))
 
 
-@query()
+# the shard is a CRC-32 of the key, said byte by byte and bit by bit
+@query("""with l as (select 'evt:' || event_type || ':' || cast(user_id as varchar) as k, count(*) as n from events group by 1),
+ c as (select n, list_reduce(
+   list_concat([4294967295::bigint], list_transform(range(1, length(k) + 1), lambda i: unicode(substr(k, i, 1))::bigint)),
+   lambda a, x: list_reduce(list_concat([xor(a, x)], range(8)), lambda b, i: case when b & 1 = 1 then xor(b >> 1, 3988292384) else b >> 1 end)) as crc from l)
+ select cast(xor(crc, 4294967295) % 16 as int) as shard, cast(sum(n) as bigint) as writes from c group by 1""")
 def shard_distribution(spark, sf_dir):
     return _ledger(spark, sf_dir).groupBy(keys.shard_of("logical_key", 16).alias("shard")).agg(F.count("*").alias("writes"))
 

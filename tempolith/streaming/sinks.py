@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import time
+import urllib.request
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +57,50 @@ class IdempotentSink(JsonLinesSink):
         top.write.mode("overwrite").parquet(f"{self.path}/_marks/b={batch_id}")
 
 
+class HttpRowsSink:
+    """Posts batches as JSON lines to a URL, from the tasks that hold the rows, ``block`` lines a request.
+
+    A request that fails or answers with another status than 2xx is tried ``attempts`` times, with
+    pauses that double; then the batch fails and the cursor stays, so rows arrive at least once.
+    """
+
+    def __init__(self, url: str, *, attempts: int = 3, backoff: float = 0.1, timeout: float = 10.0, block: int = 10_000):
+        self.url, self.attempts, self.backoff, self.timeout, self.block = url, attempts, backoff, timeout, block
+        self.error: str | None = None
+
+    @property
+    def healthy(self) -> bool:
+        return self.error is None
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        url, attempts, backoff, timeout, block = self.url, self.attempts, self.backoff, self.timeout, self.block
+
+        def post(body: bytes) -> None:
+            for turn in range(attempts):
+                try:
+                    request = urllib.request.Request(url, body, {"Content-Type": "application/x-ndjson"}, method="POST")
+                    with urllib.request.urlopen(request, timeout=timeout):
+                        return
+                except OSError:  # refused, timed out, or a status that is no success
+                    if turn + 1 == attempts:
+                        raise
+                    time.sleep(backoff * 2**turn)
+
+        def send(batches):
+            for rows in batches:
+                lines = rows.column(0).to_pylist()
+                for at in range(0, len(lines), block):
+                    post(("\n".join(lines[at : at + block]) + "\n").encode())
+                yield pa.RecordBatch.from_pydict({"n": [len(lines)]})
+
+        try:
+            json_each_row(batch).mapInArrow(send, "n long").agg(F.sum("n")).collect()
+        except Exception as error:
+            self.error = str(error)
+            raise
+        self.error = None
+
+
 def with_retry(send: Send, attempts: int = 3, backoff: float = 0.1, sleep: Callable[[float], None] = time.sleep) -> Send:
     """send, tried up to ``attempts`` times with a fixed pause."""
 

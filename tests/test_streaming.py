@@ -1,6 +1,9 @@
 """Streams: stateful monotonicity across restarts, ingest, delivery and what guards sinks."""
 
 import json
+import threading
+import time
+from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
 
@@ -86,3 +89,79 @@ def test_breaker_router_and_retry():
 
     sinks.with_retry(flaky, 3, sleep=lambda _: None)(None, 0)
     assert len(calls) == 3
+
+
+@pytest.fixture
+def http_rows():
+    """(url, bodies taken, statuses to answer with before 200)."""
+    taken, statuses = [], []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = self.rfile.read(int(self.headers["Content-Length"])).decode()
+            status = statuses.pop(0) if statuses else 200
+            if status == 200:
+                taken.append(body)
+            self.send_response(status)
+            self.end_headers()
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}/", taken, statuses
+    server.shutdown()
+    server.server_close()
+
+
+def test_http_rows_are_posted_and_retried(spark, http_rows):
+    url, taken, statuses = http_rows
+    frame = spark.createDataFrame([(f"k{i}", f'{{"a":{i}}}') for i in range(5)], "key string, value string").coalesce(1)
+    sink = sinks.HttpRowsSink(url, attempts=3, backoff=0.01, block=2)
+    statuses += [500, 503]
+    sink(frame, 0)
+    assert sink.healthy and [b.count("\n") for b in taken] == [2, 2, 1]
+    assert [json.loads(x) for x in "".join(taken).splitlines()] == [{"_key": f"k{i}", "a": i} for i in range(5)]
+    sink(frame.limit(0), 1)
+    assert len(taken) == 3
+    statuses += [500] * 100
+    with pytest.raises(Exception, match="500"):
+        sinks.HttpRowsSink(url, attempts=2, backoff=0.01)(frame, 2)
+    statuses.clear()
+    with pytest.raises(Exception, match="not a JSON object"):
+        sink(spark.createDataFrame([("k", "nope")], "key string, value string"), 3)
+    assert not sink.healthy and len(taken) == 3
+
+
+def test_read_stream_bounds_its_batches(spark, tmp_path):
+    for i in range(5):
+        spark.createDataFrame([(i, "k", "{}", 0)], "arrival long, key string, value string, write_nanos long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    sizes = []
+    rows = ingest.read_stream(spark, str(tmp_path / "in"), "arrival long, key string, value string, write_nanos long", max_files=2)
+    ingest.deliver(rows, lambda batch, _: sizes.append(batch.count()), str(tmp_path / "cp")).awaitTermination()
+    assert sizes == [2, 2, 1]
+
+
+def test_health_tells_failed_queries(spark, tmp_path):
+    health = ingest.Health()
+    spark.streams.addListener(health)
+    try:
+        feed(spark, tmp_path / "in", "a", [(0, "k", "{}", 0)])
+        ingest.deliver(stream(spark, tmp_path / "in"), lambda *_: None, str(tmp_path / "ok")).awaitTermination()
+
+        def fail(batch, batch_id):
+            raise OSError("down")
+
+        def settled(count, state):
+            until = time.monotonic() + 20
+            while sum(s == state for s, _ in health.seen.values()) < count and time.monotonic() < until:
+                time.sleep(0.05)
+            return sum(s == state for s, _ in health.seen.values()) == count
+
+        assert settled(1, "ended") and health.healthy
+        with pytest.raises(Exception, match="down"):
+            ingest.deliver(stream(spark, tmp_path / "in"), fail, str(tmp_path / "bad")).awaitTermination()
+        assert settled(1, "failed") and not health.healthy
+    finally:
+        spark.streams.removeListener(health)
