@@ -73,9 +73,13 @@ def correlations(series: DataFrame) -> DataFrame:
     return good.select("factor_a", "factor_b", r.alias("correlation"), (r > SUSPECT_ABOVE).alias("suspect"))
 
 
-def suspect_duplicates(edges: DataFrame, admitted: DataFrame) -> DataFrame:
-    """(factor, rival): for each factor not admitted the first suspect neighbour, in key order, that is."""
-    both = edges.where("suspect").select("factor_a", "factor_b", keys.pair_key("factor_a", "factor_b").alias("key"))
+def suspect_duplicates(edges: DataFrame, admitted: DataFrame, key: Column | None = None) -> DataFrame:
+    """(factor, rival): for each factor not admitted the first suspect neighbour, in key order, that is.
+
+    key: the key of an edge, by default that of the unordered pair.
+    """
+    key = keys.pair_key("factor_a", "factor_b") if key is None else key
+    both = edges.where("suspect").select("factor_a", "factor_b", key.alias("key"))
     sides = both.select(F.col("factor_a").alias("factor"), F.col("factor_b").alias("rival"), "key").union(both.select("factor_b", "factor_a", "key"))
     known = admitted.select(F.col("factor").alias("rival")).distinct()
     open_ = sides.join(known, "rival", "left_semi").join(admitted.select("factor").distinct(), "factor", "left_anti")
